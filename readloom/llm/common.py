@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> Data
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return docs.select("doc_id", "text").join(known, "doc_id").filter("text is not null").select("text", "label", "doc_id")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often ``use`` refers to it, lambdas included."""
+    return F.element_at(F.transform(F.array(value), use), 1)

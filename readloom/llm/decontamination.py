@@ -15,9 +15,13 @@ one document; extra columns are ignored (``leaks``) or kept (``drop_leaked``); e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 WIDTH = 8
 LITERALS = 4
 COVERAGE = 0.4
@@ -44,23 +48,39 @@ def _template(tokens: Column) -> Column:
         return F.when(code == 1, F.lit("<name>")).when((code >= 48) & (code <= 57), F.lit("<num>")).otherwise(F.lower(x))
 
     units = F.array(*[F.lit(u) for u in UNITS])
-    plain = F.transform(tokens, one)
-    return F.when(F.arrays_overlap(plain, units), F.transform(plain, lambda x: F.when(F.array_contains(units, x), F.lit("<unit>")).otherwise(x))).otherwise(plain)
+
+    def unit(plain: Column) -> Column:
+        return F.when(F.arrays_overlap(plain, units), F.transform(plain, lambda x: F.when(F.array_contains(units, x), F.lit("<unit>")).otherwise(x))).otherwise(plain)
+
+    return let(F.transform(tokens, one), unit)
 
 
 def windows(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys, and of each template window its place, hash, and the slots at its first and last place (else null)."""
-    tokens = docs.select(*keys, _tokens(F.col("text")).alias("raw")).filter(F.size("raw") >= WIDTH)
-    tokens = tokens.withColumn("template", _template(F.col("raw")))
 
-    def slot(at: Column) -> Column:
-        return F.when(F.ascii(F.get("template", at)) == 60, F.get("raw", at))
+    def cut_up(both: Column) -> Column:
+        raw, template, hashes = both["raw"], both["template"], both["hashes"]
+
+        def slot(at: Column) -> Column:
+            return F.when(F.ascii(F.get(template, at)) == 60, F.get(raw, at))
+
+        def window(slots: bool) -> Callable[[Column], Column]:
+            none = F.lit(None).cast("string")
+            return lambda i: F.struct(
+                F.xxhash64(*[F.get(hashes, i + k) for k in range(WIDTH)]).alias("hash"),  # slice() would copy the whole array
+                (slot(i) if slots else none).alias("head"),
+                (slot(i + WIDTH - 1) if slots else none).alias("tail"),
+            )
+
+        places = F.sequence(F.lit(0), F.size(raw) - WIDTH)
+        cut = F.when(F.exists(template, lambda x: F.ascii(x) == 60), F.transform(places, window(True))).otherwise(F.transform(places, window(False)))
+        return F.when(F.size(raw) >= WIDTH, cut)
 
-    def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice("template", i + 1, WIDTH)).alias("hash"), slot(i).alias("head"), slot(i + WIDTH - 1).alias("tail"))
+    def hashed(both: Column) -> Column:
+        return F.struct(both["raw"].alias("raw"), both["template"].alias("template"), F.transform(both["template"], lambda x: F.xxhash64(x)).alias("hashes"))
 
-    places = F.sequence(F.lit(0), F.size("raw") - WIDTH)
-    return tokens.select(*keys, F.posexplode(F.transform(places, window)).alias("place", "w")).select(*keys, "place", "w.hash", "w.head", "w.tail")
+    found = let(_tokens(F.col("text")), lambda raw: let(F.struct(raw.alias("raw"), _template(raw).alias("template")), lambda both: let(hashed(both), cut_up)))
+    return docs.filter("text is not null").select(*keys, F.posexplode(found).alias("place", "w")).select(*keys, "place", "w.hash", "w.head", "w.tail")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
