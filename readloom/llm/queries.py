@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from . import decontamination, mixing, near_dedup, neighbours, quality, secrets, tool_calls, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, labels))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, labels))
 
 
+#: Tools that conversations may call: name, argument, type, whether it is required.
+TOOLS = """SELECT * FROM VALUES ('search', 'query', 'string', true), ('search', 'limit', 'integer', false),
+    ('calculate', 'expression', 'string', true), ('fetch', 'url', 'string', true), ('fetch', 'headers', 'object', false)
+    AS tools(name, argument, type, required)"""
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(_table(spark, sf_dir, "conversations"), spark.sql(TOOLS))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
