@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words
@@ -140,19 +140,29 @@ def balanced_extra(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken."""
-    return _plan(docs.select("doc_id", n_words(F.col("text")).alias("size"), "source"))
+    sized = cut(docs.select("doc_id", n_words(F.col("text")).alias("size"), "source"))
+    # rows that agree in id, size and source are told apart by a running number
+    twin = Window.partitionBy("doc_id", "size", "source").orderBy(F.lit(1))
+    planned, times = _planned(sized.withColumn("row_key", F.xxhash64("doc_id", "size", "source", F.row_number().over(twin))))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target and taken (repeats counted). Rows that
+    agree in id, source and text are taken alike."""
+    key = F.xxhash64("doc_id", "source", "text")
+    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), "source", key.alias("row_key")).groupBy("row_key", "doc_id", "source").agg(F.sum("size").alias("size"), F.max("size").alias("one"))
+    planned, times = _planned(cut(sized))
+    taken = planned.select("row_key", F.col("one").alias("size"), "source_size", "target", (F.col("one") * times).cast("long").alias("taken")).filter("taken > 0")
+    clash = [c for c in ("size", "source_size", "target", "taken", "row_key") if c in docs.columns]
+    return docs.drop(*clash).withColumn("row_key", key).join(taken, "row_key").drop("row_key")
 
-def _plan(sized: DataFrame) -> DataFrame:
-    sized = cut(sized.select("doc_id", "size", "source"))
+
+def _planned(sized: DataFrame) -> tuple[DataFrame, Column]:
+    """``sized`` (row_key, size, source and more) with source_size and target, and how many times each row is taken."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = source_targets(sized).withColumn("rate", rate)
-    targets = targets.select("source", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.xxhash64("source", F.lit(5)).alias("source_key"))
-    planned = sized.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
-    # rows that agree in id, size and source are told apart by a running number
-    twin = Window.partitionBy("doc_id", "size", "source").orderBy(F.lit(1))
-    planned = cut(planned.withColumn("row_key", F.xxhash64("doc_id", "size", "source", F.row_number().over(twin))).drop("s", "source"))
+    targets = targets.select("source", F.col("source_size").cast("long").alias("source_size"), "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.xxhash64("source", F.lit(5)).alias("source_key"))
+    planned = cut(sized.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source"))
     extra = balanced_extra(planned).groupBy("row_key").agg(F.max("p").alias("extra"))
-    joined = planned.join(extra, "row_key", "left")
-    times = F.col("whole") + F.coalesce(F.col("extra"), F.col("p")).cast("long")
-    return joined.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("size") * times).cast("long").alias("taken"))
+    return planned.join(extra, "row_key", "left"), F.col("whole") + F.coalesce(F.col("extra"), F.col("p")).cast("long")
