@@ -219,6 +219,7 @@ def synchronous_louvain(edges: DataFrame, m2: float, rounds: int = 10, levels: i
     for level in range(1, levels + 1):
         d = cut(degrees(level_edges).select("node", "degree"))
         at = d.select("node", F.col("node").alias("community"))
+        moved_at_all, still = False, 0
         for k in range(rounds):
             total = at.join(d, "node").groupBy("community").agg(F.sum("degree").alias("total"))
             links = neighbour_weights(level_edges, at).join(d, "node").join(total, "community")
@@ -227,7 +228,13 @@ def synchronous_louvain(edges: DataFrame, m2: float, rounds: int = 10, levels: i
             scored = links.join(own, "node").select("node", "own", "community", (F.col("w") - (F.col("total") - stay) * F.col("degree") / m2).alias("gain"))
             best = scored.groupBy("node", "own").agg(F.max(F.struct("gain", -F.col("community"))).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"))
             go = (F.col("b.gain") > F.greatest(F.coalesce("now", F.lit(0.0)), F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
-            at = cut(best.select("node", F.when(go, -F.col("b")["col2"]).otherwise(F.col("own")).alias("community")))
+            new = cut(best.select("node", "own", F.when(go, -F.col("b")["col2"]).otherwise(F.col("own")).alias("community")))
+            moved = new.filter("community <> own").limit(1).count() > 0
+            at, moved_at_all, still = new.select("node", "community"), moved_at_all or moved, 0 if moved else still + 1
+            if still == 2:  # neither half of the nodes moves
+                break
+        if not moved_at_all and found is not None:
+            break
         home = cut(home.join(at.select(F.col("node").alias("community"), F.col("community").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community")))
         part = home.withColumn("level", F.lit(level)).select("node", "level", "community")
         found = part if found is None else found.union(part)

@@ -54,14 +54,18 @@ def unitigs(reads: DataFrame, k: int) -> DataFrame:
     links = cut(unique_links(arcs(reads, k)))
     nodes = kmers.select(F.col("kmer").alias("node"))
     walked = _walk(nodes, links)
-    rings = walked.filter("open").select(F.col("low").alias("dst")).distinct()
+    rings = cut(walked.filter("open").select(F.col("low").alias("dst")).distinct())
     if rings.limit(1).count():
         links = cut(links.join(rings, "dst", "left_anti").select("src", "dst"))
         walked = _walk(nodes, links)
     path = walked.join(kmers, walked["node"] == kmers["kmer"]).groupBy("top").agg(F.array_sort(F.collect_list(F.struct("steps", "kmer", "n"))).alias("p"))
     seq = F.concat(F.col("p")[0]["kmer"], F.array_join(F.transform("p", lambda x: F.when(x["steps"] > 0, F.right(x["kmer"], F.lit(1))).otherwise("")), ""))
-    out = path.select(seq.alias("seq"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("kmer_cov"), F.transform("p", lambda x: x["kmer"]).alias("members"))
-    return out.filter(F.col("seq") <= reverse_complement(F.col("seq")))
+    out = path.select("top", seq.alias("seq"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("kmer_cov"), F.transform("p", lambda x: x["kmer"]).alias("members"))
+    # a ring and its other strand are opened at different places, so their smallest k-mers decide
+    ring = out.join(rings.select(F.col("dst").alias("top"), F.lit(True).alias("ring")), "top", "left")
+    other = F.array_min(F.transform("members", reverse_complement))
+    kept = F.when(F.col("ring"), F.array_min("members") <= other).otherwise(F.col("seq") <= reverse_complement(F.col("seq")))
+    return ring.filter(kept).select("seq", "kmer_cov", "members")
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
