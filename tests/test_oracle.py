@@ -17,6 +17,7 @@ def sql(sf_dir):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
+    frame = frame.astype(object).where(frame.notna(), None)  # a null may come as NaN
     return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in frame.astype(object).itertuples(index=False))
 
 
