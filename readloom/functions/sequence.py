@@ -27,16 +27,15 @@ def push_left(kmer: Column, base: Column) -> Column:
     return F.concat(base, F.left(kmer, F.length(kmer) - 1))
 
 
-def kmer_array(seq: Column, k: int) -> Column:
-    """Array of (pos, kmer) of the windows that hold only A, C, G and T."""
-    last = F.length(seq) - k
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.substring(seq, i + 1, F.lit(k)).alias("kmer")))
-    return F.when(last >= 0, F.filter(windows, lambda w: w["kmer"].rlike("^[ACGT]+$")))
-
-
 def explode_kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """Each row once for each of its k-mers, with ``pos`` and ``kmer``; other columns stay."""
-    return df.withColumn("_w", F.explode(kmer_array(F.col(seq), k))).select("*", "_w.pos", "_w.kmer").drop("_w")
+    """Each row once for each of its k-mers of A, C, G and T only, with ``pos`` and ``kmer``; other columns stay.
+
+    Positions are generated and cut out in compiled code; only rows with other letters have their windows matched.
+    """
+    whole = df.withColumn("_plain", ~F.col(seq).rlike("[^ACGT]")).filter(F.length(seq) >= k)
+    placed = whole.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length(seq) - k)))
+    cut = placed.withColumn("kmer", F.substring(F.col(seq), F.col("pos") + 1, F.lit(k)))
+    return cut.filter(F.col("_plain") | F.col("kmer").rlike("^[ACGT]+$")).drop("_plain")
 
 
 def rotations(pattern: str) -> list[str]:

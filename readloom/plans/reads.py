@@ -21,10 +21,17 @@ reads AS (SELECT doc_id * {PAIRS} + i // 2 AS pair_id, CAST(i % 2 + 1 AS INTEGER
 pairs AS (SELECT a.pair_id, a.seq AS seq1, b.seq AS seq2 FROM reads a JOIN reads b ON a.pair_id = b.pair_id AND a.mate = 1 AND b.mate = 2)"""
 
 
+def spread(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` over at least as many partitions as there are cores: a table of few splits is hashed by its key, a table of
+    many is left as it was read."""
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(least, key) if docs.rdd.getNumPartitions() < least else docs
+
+
 def dna(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
     """doc_id, seq of the texts of a table whose rows are named by ``key``."""
-    docs = spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(F.col("text").isNotNull() & F.col(key).isNotNull())
-    return docs.select(F.col(key).alias("doc_id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _BASES).alias("seq"))
+    docs = spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(key, "text")
+    return spread(docs, key).select(F.col(key).alias("doc_id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _BASES).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
