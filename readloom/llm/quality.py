@@ -6,7 +6,7 @@ text is built like one side. The difference, and how far the good dictionary and
 go through a logistic curve fitted on labelled texts that no dictionary was made of.
 
 Dictionaries and curve are learnt from at most ``TRAIN_ROWS`` labelled rows outside the held-out fifth: half for the
-dictionaries, half for the curve.
+dictionaries, half for the curve. A dictionary is trained on every piece of its texts, whatever their number and length.
 
 Defined cases: a null or empty text is scored like an empty string; unlabelled tables, or labels of one kind, give even
 odds; repeated rows are scored alike, each on its own; labels of a repeated id count once, the larger one; extra columns
@@ -31,7 +31,6 @@ from .common import held_out, labelled
 TRAIN_ROWS = 8_000
 DICTIONARY = 64 * 1024
 PIECE = 1024
-SHARE = 2048
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -44,17 +43,20 @@ class Model:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """Raw dictionary content: an even share of each text, so that many texts stand in it; at most ``DICTIONARY`` bytes."""
-    share = max(64, min(SHARE, DICTIONARY // max(1, len(texts))))
-    out = b"\n".join(t[:share] for t in texts)
-    return out[-DICTIONARY:]
+    """Raw content where the distinct pieces of all texts fit into ``DICTIONARY`` bytes, else a dictionary trained on all pieces."""
+    whole = b"\n".join(texts)
+    pieces = [whole[k : k + PIECE] for k in range(0, len(whole), PIECE)]
+    distinct = b"".join(dict.fromkeys(pieces))
+    if len(distinct) <= DICTIONARY:
+        return distinct
+    return zstandard.train_dictionary(DICTIONARY, pieces, k=PIECE, d=8, level=LEVEL).as_bytes()
 
 
 class Compressor:
     def __init__(self, good: bytes, bad: bytes):
         self.sides = []
         for content in (good, bad):
-            known = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(content or b"\n" * 8)  # a trained one is known by its magic number, which is no UTF-8
             known.precompute_compress(level=LEVEL)
             self.sides.append(zstandard.ZstdCompressor(dict_data=known, level=LEVEL, write_content_size=False))
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)

@@ -73,6 +73,24 @@ def test_scores_of_edge_cases(spark, edges, nothing, module):
     assert {round(r["score"], 6) for r in module.score_documents(edges, empty).collect()} == {0.5}
 
 
+def test_dictionaries_learn_whole_texts():
+    rng = random.Random(7)
+    good, bad = (["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)] for _ in range(2))
+    opening = "every text of the table begins with one and the same long line, whatever comes after it. " * 3
+
+    def row(k):
+        return (opening + " ".join(rng.choices(good if k % 3 else bad, k=80))).encode(), int(k % 3 > 0)
+
+    model = quality.learn([row(k) for k in range(3000)])
+    c = quality.Compressor(model.good, model.bad)
+    right = [(quality.calibration.probability(model.curve, c.features(t)) >= 0.5) == y for t, y in map(row, range(300))]
+    assert sum(right) >= 290
+    early, late = ([" ".join(rng.choices(side, k=80)).encode() for _ in range(2000)] for side in (good, bad))
+    both = quality.Compressor(quality.dictionary(early + late), b"")
+    assert all(both.features(t)[0] > 0.2 for t in (early[0], late[-1]))
+    assert quality.dictionary([b"a" * 200_000]) and quality.dictionary([]) == b""
+
+
 def test_grammar_weighs_clauses():
     score = toxicity.Scorer({"idiot": 3.0})
     plain = score.clause([score.readings[w] for w in "he is an idiot".split()])
