@@ -3,13 +3,15 @@
 A message's text may be JSON. An assistant's ``{"tool_calls": [{"id", "name", "arguments"}]}`` makes calls; a
 ``{"tool_call_id", "content"}`` of role tool makes a result. Calls and results are hash-joined by conversation and
 identifier. A call depends on the calls whose results its arguments name as ``"$ref:<id>"``; its level is 0 without
-dependencies, else one more than the highest level below it, found by rounds of joins over the call rows alone.
+dependencies, else one more than the highest level below it, found by rounds of joins over the call rows alone, as many as
+it takes.
 Arguments are validated against a table of schemas (name, argument, type, required). JSON is parsed as a variant, whose
 objects keep their keys sorted, so what it is written back as is canonical.
 
 Each message stays a row of its own, so a conversation that holds a third of all rows is never gathered.
 
-Defined cases: a text that is not such JSON, null or empty is plain content; a call without result, or a result without
+Defined cases: a text that is not such JSON, null or empty is plain content, as is a message with an empty list of calls;
+a ``content`` beside calls, unless null, is a message row of its own; a call without result, or a result without
 call, has ``linked`` false; of calls that repeat an identifier in a conversation the first turn counts for links and
 levels, later ones are unlinked duplicates; calls in a cycle have level -1; a call of a name without schema is
 ``valid`` null; arguments that are no object are not valid; repeated rows are written each on its own; null ids and
@@ -24,16 +26,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCHEMA_COLUMNS = "name string, argument string, type string, required boolean"
+_FAR = 1 << 40
 _CALLS = "array<struct<id:string,name:string,arguments:variant>>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``messages`` with the variant of JSON texts, the calls they make and the identifier they answer."""
+    """``messages`` with the variant of JSON texts, the calls they make, the content beside calls and the identifier they answer."""
     is_json = F.col("text").rlike(r"^\s*\{") & F.col("role").isin("assistant", "tool")
     v = messages.select("conv_id", "turn", "role", "text", F.when(is_json, F.try_parse_json("text")).alias("v"))
     calls = F.when(F.col("role") == "assistant", F.try_variant_get("v", "$.tool_calls", _CALLS))
     answer = F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string"))
-    return v.withColumns({"calls": calls, "answers": answer})
+    v = v.withColumns({"calls": calls, "answers": answer})
+    # an empty list makes no call, so that its message is a plain one
+    v = v.withColumn("calls", F.when(F.size("calls") > 0, F.col("calls")))
+    said = F.to_json(F.try_variant_get("v", "$.content", "variant"))
+    return v.withColumn("said", F.when(F.col("calls").isNotNull() & (said != "null"), said))
 
 
 def call_rows(rows: DataFrame) -> DataFrame:
@@ -43,24 +50,36 @@ def call_rows(rows: DataFrame) -> DataFrame:
     return one.withColumn("needs", F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$ref:([^"\\]+)"'), F.lit(1))))
 
 
-def levels(calls: DataFrame, most: int = 50) -> DataFrame:
-    """conv_id, id, level of each first call of an identifier; calls in or above a cycle get -1."""
-    first = calls.filter("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "needs")).alias("c"))
-    first = cut(first.select("conv_id", "id", "c.needs"))
-    level = cut(first.select("conv_id", "id", F.when(F.size("needs") == 0, 0).alias("level")))
-    needed = first.filter("size(needs) > 0").select("conv_id", "id", F.explode("needs").alias("need"))
-    for _ in range(most):
-        if level.filter("level is null").limit(1).count() == 0:
+def levels(calls: DataFrame) -> DataFrame:
+    """conv_id, id, level of each first call of an identifier; calls in or above a cycle get -1.
+
+    A call's level is at least ``level``, and for each of its edges ``steps`` more than that of ``need``; a call without edges
+    is settled. Every round takes in the edges to settled calls, and leads edges to a call of one edge on to where that one
+    leads, so that chains double their reach. Without a cycle each round settles some call, so one that settles none is the last.
+    """
+    key = ["conv_id", "id"]
+    first = calls.filter("conv_id is not null and id is not null").groupBy(*key).agg(F.min(F.struct("turn", "place", "needs")).alias("c"))
+    first = cut(first.select(*key, "c.needs"))
+    # what refers to an unknown identifier does not wait for it
+    edges = first.select(*key, F.explode("needs").alias("need")).join(first.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"])
+    edges = cut(edges.select(*key, "need", F.lit(1).cast("long").alias("steps")))
+    nodes, settled = first.select(*key, F.lit(0).cast("long").alias("level")), -1
+    while not edges.isEmpty():
+        ways = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("need", "steps")).alias("next"))
+        nodes = cut(nodes.join(ways, key, "left").select(*key, "level", "n", "next"))
+        before, settled = settled, nodes.filter("n is null").count()
+        if settled == before:
+            nodes = nodes.withColumn("level", F.when(F.col("n").isNull(), F.col("level")).otherwise(F.lit(-1)))
             break
-        below = level.select("conv_id", F.col("id").alias("need"), F.col("level").alias("below"), F.lit(True).alias("there"))
-        step = needed.join(below, ["conv_id", "need"], "left").groupBy("conv_id", "id")
-        # what refers to an unknown identifier does not wait for it
-        step = step.agg(F.when(~F.bool_or(F.col("there").isNotNull() & F.col("below").isNull()), F.coalesce(F.max("below"), F.lit(-1)) + 1).alias("up"))
-        new = cut(level.join(step, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("level", "up").alias("level"), F.col("level").isNull().alias("open")))
-        if new.filter("open and level is not null").limit(1).count() == 0:
-            break
-        level = new.drop("open")
-    return level.select("conv_id", "id", F.coalesce("level", F.lit(-1)).alias("level"))
+        below = nodes.select("conv_id", F.col("id").alias("need"), F.col("level").alias("below"), "n", "next")
+        moved = cut(edges.join(below, ["conv_id", "need"]))
+        # only in and above cycles, which end at -1, sums come near the bound
+        up = moved.filter("n is null or n = 1").groupBy(*key).agg(F.max(F.least(F.col("below") + F.col("steps"), F.lit(_FAR))).alias("up"))
+        nodes = nodes.select(*key, "level").join(up, key, "left").select(*key, F.greatest("level", "up").alias("level"))
+        steps = F.when(F.col("n") == 1, F.least(F.col("steps") + F.col("next.steps"), F.lit(_FAR))).otherwise(F.col("steps"))
+        led = moved.filter("n is not null").select(*key, F.when(F.col("n") == 1, F.col("next.need")).otherwise(F.col("need")).alias("need"), steps.alias("steps"))
+        edges = cut(led.groupBy(*key, "need").agg(F.max("steps").alias("steps")))
+    return nodes.select(*key, F.col("level").cast("int"))
 
 
 def validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -87,7 +106,7 @@ def validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each plain message, call and result: conv_id, turn, place, role, kind, call_id, level, linked, valid,
+    """One row for each plain message, content beside calls, call and result: conv_id, turn, place, role, kind, call_id, level, linked, valid,
     json. Ordering by (conv_id, level, turn, place) puts calls after those that they depend on."""
     rows = parsed(messages)
     calls = cut(call_rows(rows))
@@ -104,4 +123,6 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     result_out = results.join(owner, ["conv_id", "id"], "left").select("conv_id", "turn", F.lit(0).alias("place"), F.lit("tool").alias("role"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), F.lit(None).cast("int").alias("level"), F.coalesce(F.col("first.turn") < F.col("turn"), F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"), result_json.alias("json"))
     plain_json = F.to_json(F.struct(F.col("text").alias("content"), F.col("role"), F.col("turn")))
     plain = rows.filter("calls is null and answers is null").select("conv_id", "turn", F.lit(0).alias("place"), "role", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"), plain_json.alias("json"))
-    return plain.unionByName(call_out).unionByName(result_out)
+    said_json = F.to_json(F.struct(F.try_parse_json("said").alias("content"), F.col("role"), F.col("turn")))
+    beside = rows.filter("said is not null").select("conv_id", "turn", F.lit(0).alias("place"), "role", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"), said_json.alias("json"))
+    return plain.unionByName(beside).unionByName(call_out).unionByName(result_out)

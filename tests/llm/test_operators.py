@@ -281,6 +281,26 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert tool_calls.link(messages.limit(0), schemas).count() == 0
 
 
+def test_levels_of_long_chains_and_contents_beside_calls(spark):
+    schemas = spark.createDataFrame(TOOLS, tool_calls.SCHEMA_COLUMNS)
+    far = 120
+
+    def call(i, *needs):
+        return {"id": i, "name": "search", "arguments": {"query": [f"$ref:{x}" for x in needs]}}
+
+    rows = [(1, k, "assistant", json.dumps({"tool_calls": [call(f"k{k}", *([f"k{k - 1}"] if k else []))]})) for k in range(far)]
+    # a ladder, a join of two branches of different length, a cycle and a call above it, a call of an unknown one
+    rows += [(2, k, "assistant", json.dumps({"tool_calls": [call(f"l{k}", *[f"l{k - d}" for d in (1, 2) if k >= d])]})) for k in range(6)]
+    rows += [(3, 0, "assistant", json.dumps({"tool_calls": [call("a"), call("b", "a"), call("c", "b"), call("d", "a", "c"), call("e", "d"), call("x", "y"), call("y", "x"), call("z", "x", "e"), call("s", "s"), call("u", "none"), call("v", "u", "none")]}))]
+    rows += [(4, 0, "assistant", '{"tool_calls": [], "content": "nothing to call"}'), (4, 1, "assistant", '{"content": "let me see", "tool_calls": [{"id": "q", "name": "search", "arguments": {"query": "x"}}]}'), (4, 2, "assistant", '{"content": null, "tool_calls": [{"id": "r", "name": "search", "arguments": {}}]}')]
+    found = tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
+    level = {r["call_id"]: r["level"] for r in found if r["kind"] == "call"}
+    assert [level[f"k{k}"] for k in range(far)] == list(range(far)) and [level[f"l{k}"] for k in range(6)] == list(range(6))
+    assert {x: level[x] for x in "abcdexyzsuv"} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "x": -1, "y": -1, "z": -1, "s": -1, "u": 0, "v": 1}
+    plain = {r["turn"]: json.loads(r["json"]) for r in found if r["kind"] == "message"}
+    assert plain == {0: {"content": rows[-3][3], "role": "assistant", "turn": 0}, 1: {"content": "let me see", "role": "assistant", "turn": 1}}
+
+
 # urls
 
 
@@ -341,6 +361,16 @@ def test_ranks_against_dense_iteration(spark):
         assert all(abs(rank[k] - (found[h][name] if h in found else 0)) < 1e-9 for k, h in enumerate(hosts))
 
 
+def test_ranks_converge_and_reach_far_hosts(spark):
+    n = 30
+    edges = [(f"h{k}", f"h{k + 1}", 1) for k in range(n)] + [("c0", "c1", 1), ("c1", "c0", 1)]
+    seeds = [("h0", 0.5, 0.0), ("c0", 0.5, 0.0)]
+    found = {r["host"]: r["trust"] for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good double, bad double")).collect()}
+    d = url_filter.DAMPING
+    assert all(abs(found[f"h{k}"] - 0.5 * (1 - d) * d**k) < 1e-8 for k in range(n + 1))
+    assert abs(found["c0"] - 0.5 / (1 + d)) < 1e-8 and abs(found["c1"] - 0.5 * d / (1 + d)) < 1e-8
+
+
 # decontamination
 
 
