@@ -73,7 +73,7 @@ def test_scores_of_edge_cases(spark, edges, nothing, module):
     assert {round(r["score"], 6) for r in module.score_documents(edges, empty).collect()} == {0.5}
 
 
-def test_dictionaries_learn_whole_texts():
+def test_dictionaries_learn_whole_texts(spark):
     rng = random.Random(7)
     good, bad = (["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)] for _ in range(2))
     opening = "every text of the table begins with one and the same long line, whatever comes after it. " * 3
@@ -81,16 +81,39 @@ def test_dictionaries_learn_whole_texts():
     def row(k):
         return (opening + " ".join(rng.choices(good if k % 3 else bad, k=80))).encode(), int(k % 3 > 0)
 
-    model = quality.learn([row(k) for k in range(3000)])
+    rows = [row(k) for k in range(1500)]
+    docs = spark.createDataFrame([(k, t.decode()) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = quality.fit(docs, labels_of(spark, [(k, y, 0) for k, (_, y) in enumerate(rows)]))
     c = quality.Compressor(model.good, model.bad)
-    right = [(quality.calibration.probability(model.curve, c.features(t)) >= 0.5) == y for t, y in map(row, range(300))]
+    right = [(quality.calibration.probability(model.curve, [c.difference(t), c.difference(t) * abs(c.difference(t))]) >= 0.5) == y for t, y in map(row, range(300))]
     assert sum(right) >= 290
     early, late = ([" ".join(rng.choices(side, k=80)).encode() for _ in range(2000)] for side in (good, bad))
     both = quality.Compressor(quality.dictionary(early + late), b"")
-    assert all(both.features(t)[0] > 0.2 for t in (early[0], late[-1]))
+    assert all(both.difference(t) > 0.2 for t in (early[0], late[-1]))
     assert quality.dictionary([b"a" * 200_000]) and quality.dictionary([]) == b""
 
 
+def test_score_is_the_calibrated_difference(spark, documents, sf_dir):
+    """The same dictionaries and curve in a plain loop over whole texts give every row's score."""
+    import math
+
+    import zstandard
+
+    model = quality.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    sides = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False) for d in (model.good, model.bad)]
+    mean, scale, (slope, bend, even) = model.curve
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in documents.collect()}
+    found = quality.score_documents(documents, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        t = texts[r["doc_id"]]
+        g, b = (sum(len(s.compress(t[k : k + quality.PIECE])) for k in range(0, max(1, len(t)), quality.PIECE)) for s in sides)
+        d = (b - g) / (b + g)
+        z = even + slope * (d - mean[0]) / scale[0] + bend * (d * abs(d) - mean[1]) / scale[1]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_grammar_weighs_clauses():
     score = toxicity.Scorer({"idiot": 3.0})
     plain = score.clause([score.readings[w] for w in "he is an idiot".split()])
@@ -102,11 +125,70 @@ def test_grammar_weighs_clauses():
     assert score.clause([score.readings[w] for w in "we hurt nobody".split()]) == 0
 
 
+def naive_score(model, text):
+    """The clause scores by the rules of the grammar, word by word, without transducers."""
+    import math
+
+    scores, count = [], 0
+    for clause in re.split(r"[.!?;:\n\r|]+", text.lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        count += len(words)
+        kinds = []
+        for w in words:
+            weight = max([model.lexicon.get(t, 0.0) for t in [w, *(w[:k] + "*" for k in (5, 6, 7, 8) if len(w) >= k)]])
+            kinds.append(("I", weight) if weight else ("T", 0) if w in model.threats or w in toxicity.THREAT else ("Y", 0) if w in toxicity.TARGET else ("N", 0) if w in toxicity.NEGATION else ("R", 0) if w in toxicity.REPORTED else ("O", 0))
+        total = 0.0
+        for k, (kind, weight) in enumerate(kinds):
+            before = [x for x, _ in kinds[:k]]
+            if kind in "IY":
+                factor = model.factors["negated"] if "N" in before[-3:] else 1.0
+                factor *= model.factors["reported"] if "R" in before else 1.0
+                factor *= model.factors["targeted"] if kind == "I" and "Y" in before else 1.0
+                more = model.factors["threat"] if kind == "Y" and "T" in before[-4:] else 0.0
+                total += factor * (weight + more)
+        if total:
+            scores.append(total)
+    total, most = sum(scores), max(scores, default=0.0)
+    return toxicity.calibration.probability(model.curve, [math.log1p(total), math.log1p(most), math.log1p(100 * total / (count + 20)), math.log1p(count)])
+
+
+def test_toxicity_against_naive_clauses(spark, documents, sf_dir):
+    model = toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    for r in toxicity.score_documents(documents, model).collect():
+        assert abs(r["score"] - naive_score(model, texts[r["doc_id"]])) < 1e-9
+
+
+def spoken(kind, rng):
+    filler = [f"word{rng.randrange(300)}" for _ in range(12)]
+    name = rng.choice(["blorft", "snaggle", "drimpel"])
+    said = {"insult": f"that is a {name}", "negated": f"he is not a {name}", "reported": f"she said that he is a {name}", "threat": "i will skewer all of you", "harmless": "we skewer the meat", "clean": "nothing to see"}[kind]
+    return f"{' '.join(filler[:6])}. {said}. {' '.join(filler[6:])}."
+
+
+def test_learnt_grammar_beats_the_bare_lexicon(spark):
+    """Insults that are negated or reported, and threats: with the transducers they are told apart, without them not."""
+    rng = random.Random(11)
+    kinds = ["insult", "negated", "reported", "threat", "harmless", "clean"]
+    rows = [(k, spoken(kinds[k % 6], rng), int(kinds[k % 6] in ("insult", "threat"))) for k in range(2400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, labels_of(spark, [(k, 1, y) for k, _, y in rows]))
+    assert {"blorft", "snaggle", "drimpel"} <= set(model.lexicon) and "skewer" in model.threats
+    assert model.factors["negated"] < 0.4 and model.factors["reported"] < 0.5
+    held = [(t, y) for k, t, y in rows if __import__("zlib").crc32(str(k).encode()) % 5 == 0]
+    with_grammar, bare = toxicity.Scorer(model.lexicon, model.threats, model.factors), {w for w in model.lexicon}
+    right = sum((model.scorer()(t) >= 0.5) == y for t, y in held)
+    words_alone = sum(any(w in bare for w in re.findall(r"[a-z]+", t)) == y for t, y in held)
+    assert right >= 0.95 * len(held) and right > words_alone + 0.2 * len(held)
+    assert with_grammar.features(spoken("harmless", rng))[0] == 0
+
+
 def test_toxic_rows_go_unchanged(spark, edges):
-    model = toxicity.Model({}, ([], [], [0.0]))
-    assert toxicity.drop_toxic(edges, model).count() == 0
-    model = toxicity.Model({}, ([], [], [-2.0]))
-    kept = toxicity.drop_toxic(edges, model)
+    def model(even):
+        return toxicity.Model({}, frozenset(), toxicity.PRIOR, ([], [], [even]))
+
+    assert toxicity.drop_toxic(edges, model(0.0)).count() == 0
+    kept = toxicity.drop_toxic(edges, model(-2.0))
     assert kept.columns == edges.columns and kept.count() == len(edge_rows())
 
 
