@@ -4,7 +4,12 @@ A shard is small, so a layer's candidate neighbours are its exact nearest ones,
 node keeps the ones that are nearer to it than to any neighbour kept before, which leaves edges in all directions, and
 gets edges back from the nodes that chose it while there is room. Every layer holds a sixteenth of the one below.
 
-Searches run for many queries in step: down the upper layers greedily, then with a beam over the lowest.
+Searches run for many queries in step: down the upper layers greedily, then with a beam over the lowest. The beam also
+starts from one node of each connected part of the lowest layer, so no part is out of reach; where a shard has more parts
+than ``PARTS``, or hardly more rows than a beam, it is marked as flat and scanned.
+
+Graphs are built in single precision after every shard, and every query, was divided by a power of two near its largest
+component; that keeps the order of the products whatever the magnitude of the vectors.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import io
 
 import numpy as np
 
-DEGREE, CANDIDATES, BEAM, FAN, THINNING = 16, 64, 192, 6, 16
+DEGREE, CANDIDATES, BEAM, FAN, THINNING, PARTS = 16, 64, 192, 6, 16, 48
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -68,35 +73,73 @@ def _with_reverse(chosen: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
+def scaled(rows: np.ndarray, axis: int | None) -> np.ndarray:
+    """Rows in single precision over a power of two: one for all (axis None), or one for each row (axis 1)."""
+    top = np.abs(rows).max(axis=axis, keepdims=True) if rows.size else np.ones((1, 1))
+    power = np.frexp(np.where(top > 0, top, 1.0))[1]
+    return np.ldexp(rows, -power).astype(np.float32)
+
+
+def parts_of(neighbours: np.ndarray) -> np.ndarray:
+    """One node of each connected part, edges taken in both directions: smallest labels, with jumps, until nothing moves."""
+    n = len(neighbours)
+    label = np.arange(n)
+    src, slot = np.nonzero(neighbours >= 0)
+    dst = neighbours[src, slot]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, dst, label[src])
+        np.minimum.at(label, src, label[dst])
+        label = label[label]
+        if (label == before).all():
+            return np.unique(label)
+
+
 def build(vectors: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     """Index of distinct rows: per layer the member rows and a (members, places) neighbour array of member positions."""
-    x = vectors.astype(np.float32)
+    x = scaled(vectors, None)
     order = np.random.default_rng(seed).permutation(len(x))
     index: dict[str, np.ndarray] = {"vectors": x}
+    if len(x) <= 2 * BEAM:
+        return index | {"parts": np.zeros(0, np.int32)}
     members, layer = np.arange(len(x)), 0
     while True:
         part = x[members]
         near = _nearest(part, CANDIDATES)
         index[f"members{layer}"] = members.astype(np.int32)
         index[f"neighbours{layer}"] = _with_reverse(_diverse(part, near, DEGREE), 2 * DEGREE)
+        if layer == 0:
+            parts = parts_of(index["neighbours0"])
+            index["parts"] = (parts if len(parts) <= PARTS else parts[:0]).astype(np.int32)
+            if len(parts) > PARTS:
+                return index
         if len(members) <= 2 * THINNING:
             return index
         members = np.sort(order[: max(1, len(members) // THINNING)])
         layer += 1
 
 
-def search(index: dict[str, np.ndarray], queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Rows found for each query and their single-precision products; -1 where fewer are found."""
+def search(index: dict[str, np.ndarray], queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
+    """Rows found for each query; -1 where fewer are found. All rows of a shard that is flat."""
     x, layer = index["vectors"], 0
+    q = scaled(queries, 1)
+    if not len(index["parts"]):
+        return _scan(x, q, beam)
     while f"members{layer + 1}" in index:
         layer += 1
-    q = queries.astype(np.float32)
     top = index[f"members{layer}"]
     found = top[(q @ x[top].T).argmax(axis=1)]
     while layer > 1:
         layer -= 1
         found = _greedy(index, layer, q, found)
-    return _beam(x, index["neighbours0"], q, found, beam)
+    return _beam(x, index["neighbours0"], q, found, index["parts"], beam)
+
+
+def _scan(x: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
+    """The ``beam`` nearest of all rows, or all rows."""
+    if len(x) <= beam:
+        return np.repeat(np.arange(len(x), dtype=np.int32)[None, :], len(q), axis=0)
+    return np.argpartition(-(q @ x.T), beam - 1, axis=1)[:, :beam].astype(np.int32)
 
 
 def _greedy(index: dict[str, np.ndarray], layer: int, q: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -116,14 +159,18 @@ def _greedy(index: dict[str, np.ndarray], layer: int, q: np.ndarray, found: np.n
         best = np.where(better, value, best)
 
 
-def _beam(x: np.ndarray, neighbours: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _beam(x: np.ndarray, neighbours: np.ndarray, q: np.ndarray, start: np.ndarray, parts: np.ndarray, beam: int) -> np.ndarray:
     rows = np.arange(len(q))
     node = np.full((len(q), beam), -1, np.int32)
     sims = np.full((len(q), beam), -np.inf, np.float32)
     fresh = np.zeros((len(q), beam), bool)
-    node[:, 0], sims[:, 0], fresh[:, 0] = start, np.einsum("qd,qd->q", q, x[start]), True
     seen = np.zeros((len(q), len(x)), bool)
+    node[:, 0], sims[:, 0], fresh[:, 0] = start, np.einsum("qd,qd->q", q, x[start]), True
     seen[rows, start] = True
+    for k, part in enumerate(parts.tolist(), 1):
+        new = start != part
+        node[new, k], sims[new, k], fresh[new, k] = part, q[new] @ x[part], True
+        seen[:, part] = True
     live = rows
     while len(live):
         open_sims = np.where(fresh[live], sims[live], -np.inf)
@@ -144,8 +191,8 @@ def _beam(x: np.ndarray, neighbours: np.ndarray, q: np.ndarray, start: np.ndarra
         keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         node[live], sims[live], fresh[live] = (np.take_along_axis(y, keep, 1) for y in (all_node, all_sims, all_fresh))
         live = live[(fresh[live] & (sims[live] > -np.inf)).any(axis=1)]
-    node[np.isinf(sims)] = -1
-    return node, sims
+    node[np.isneginf(sims)] = -1
+    return node
 
 
 def pack(index: dict[str, np.ndarray]) -> bytes:

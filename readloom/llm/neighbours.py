@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: one HNSW graph per shard, shard results merged.
 
-Rows are dealt to shards of about ``SHARD`` rows by a hash of their id, so copies of one vector spread over all shards. A
-shard indexes its distinct vectors; each stands for the smallest ``K + 1`` ids that have it, which is all that a list of
-the K nearest without the query's own row can need. Queries visit every shard in blocks; a shard returns the K best of
-what its graph finds, scored in double precision on the original vectors; the K best of all are kept.
+Rows are dealt to shards by a hash of their id and vector, so copies of one vector spread over all shards. Shards grow
+with the square root of the table, from ``SHARD`` rows to ``LARGEST``, so that the number of shards that a query has to
+visit grows more slowly than the table. A shard indexes its distinct vectors; each stands for the smallest ``K + 1`` ids
+that have it, which is all that a list of the K nearest without the query's own row can need. Queries visit every shard in
+blocks; a shard returns the K best of what its graph finds, scored in double precision on the original vectors, component
+by component in order; the K best of all are kept.
 
 Defined cases: null or zero vectors, those with null or non-finite components, empty ones and rows without id take no
 part, as query or candidate; rows of the query's own id are its own; vectors are compared with those of equal length;
 equal scores go to the smaller vec_id; with fewer than K candidates all found are returned; extra columns are ignored;
-an empty table gives an empty result.
+an empty table gives an empty result; finite vectors of any magnitude are ranked, and products beyond the range of doubles
+are infinite and rank so; vectors have no long text, and one of very many components only makes its rows wider.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from . import hnsw
 from .common import cut
 
-K, SHARD, BLOCK, STEP = 20, 4096, 16_384, 256
+K, SHARD, LARGEST, BLOCK, STEP = 20, 4096, 65_536, 16_384, 256
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -60,10 +63,10 @@ def _search(queries: pa.Table, graphs: pa.Table) -> pa.Table:
     parts: list[list[np.ndarray]] = [[], [], []]
     for a in range(0, len(ids), STEP):
         own, q = ids[a : a + STEP], x[a : a + STEP]
-        node, _ = hnsw.search(index, q)
+        node = hnsw.search(index, q)
         at, place = np.nonzero(node >= 0)
         node = node[at, place]
-        score = (index["exact"][node] * q[at]).sum(axis=1)
+        score = _products(index["exact"][node], q[at])
         owner, copy = np.nonzero(index["there"][node])
         query, vec, score = at[owner], index["ids"][node[owner], copy], score[owner]
         other = vec != own[query]
@@ -76,10 +79,21 @@ def _search(queries: pa.Table, graphs: pa.Table) -> pa.Table:
     return pa.table([np.concatenate(p) for p in parts], schema=_FOUND)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last."""
+    total = np.zeros(len(a))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(a.shape[1]):
+            total += a[:, k] * b[:, k]
+    return total
+
+
 def build_index(vectors: DataFrame) -> DataFrame:
     """shard, length, graph: one row for each shard of ``vectors`` (from ``valid_vectors``)."""
-    counts = vectors.groupBy("length").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    dealt = vectors.join(counts, "length").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    known = vectors.groupBy("length").agg(F.count("*").alias("n"))
+    size = F.least(F.lit(LARGEST), SHARD * F.greatest(F.lit(1), F.floor(F.sqrt(F.floor(F.col("n") / (10 * SHARD))))))
+    counts = known.select("length", F.ceil(F.col("n") / size).cast("int").alias("shards"))
+    dealt = vectors.join(counts, "length").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int"))
     return cut(dealt.select("shard", "length", "vec_id", "v").groupBy("shard", "length").applyInArrow(_build, "shard int, length int, graph binary"))
 
 

@@ -211,6 +211,50 @@ def test_nearest_reaches_recall(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def exact_nearest(x, q, own, k=20):
+    score = x @ x[q]
+    score[own] = -np.inf
+    return set(np.lexsort((np.arange(len(x)), -score))[:k].tolist())
+
+
+def made_vectors(kind, n, d):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, d))
+    if kind == "groups":  # tight groups that are orthogonal to each other
+        x = np.eye(d)[np.arange(n) % d] * rng.uniform(0.5, 2.0, n)[:, None] + 0.001 * x
+    if kind == "mixed":
+        x *= np.exp(rng.normal(size=(n, 1)))
+    return x * {"large": 1e25, "tiny": 1e-25}.get(kind, 1.0)
+
+
+@pytest.mark.parametrize("kind", ["large", "tiny", "mixed", "groups"])
+def test_nearest_over_several_shards(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "SHARD", 500)
+    monkeypatch.setattr(neighbours, "LARGEST", 500)
+    x = made_vectors(kind, 2400, 16).astype(np.float32)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    x = x.astype(np.float64)
+    found = neighbours.nearest(frame, frame["vec_id"] % 20 == 0).toPandas()
+    hit = 0
+    for q, part in found.groupby("query_id"):
+        assert sorted(part["rank"]) == list(range(1, 21))
+        hit += len(set(part["vec_id"]) & exact_nearest(x, q, q))
+    assert found["query_id"].nunique() == 120 and hit >= 0.95 * 20 * 120
+
+
+def test_graphs_reach_every_part():
+    from readloom.llm import hnsw
+
+    rng = np.random.default_rng(1)
+    for groups in (10, 200):  # parts that the beam starts from, and too many parts, which are scanned
+        x = np.repeat(np.eye(groups), 1000 // groups, axis=0) * rng.uniform(0.5, 2.0, 1000)[:, None]
+        index = hnsw.build(x, 0)
+        assert (len(index["parts"]) > 0) == (groups <= hnsw.PARTS)
+        most = min(20, 1000 // groups)
+        hits = [len(set(np.argsort(-(x @ q), kind="stable")[:most].tolist()) & set(row.tolist())) for row, q in zip(hnsw.search(index, x[::50]), x[::50], strict=True)]
+        assert sum(hits) >= 0.9 * most * len(hits)
+
+
 def test_nearest_edge_cases(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [inf, 1.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, [1.0, 0.0]), (40, []), (1, [1.0, 0.0])]
@@ -218,6 +262,8 @@ def test_nearest_edge_cases(spark):
     found = neighbours.nearest(frame, frame["vec_id"] % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(20, 1, 1.0), (20, 1, 1.0), (20, 9, 1.0), (20, 2, 0.0)]
     assert neighbours.nearest(frame.limit(0), frame["vec_id"] % 20 == 0).count() == 0
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [r["vec_id"] for r in neighbours.nearest(few, few["vec_id"] % 20 == 0).orderBy("rank").collect()] == [1, 2, 3]
 
 
 # mixing
