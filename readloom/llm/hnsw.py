@@ -18,7 +18,7 @@ import io
 
 import numpy as np
 
-DEGREE, CANDIDATES, BEAM, FAN, THINNING, PARTS = 16, 64, 192, 6, 16, 48
+DEGREE, FILL, CANDIDATES, BEAM, FAN, THINNING, PARTS = 16, 10, 64, 192, 6, 16, 48
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -36,7 +36,8 @@ def _nearest(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _diverse(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
-    """Up to ``degree`` of the candidates of each row, none nearer to an earlier choice than to the row; -1 fills up."""
+    """Up to ``degree`` of the candidates of each row, none nearer to an earlier choice than to the row; if these are fewer
+    than ``FILL``, the nearest others; -1 for empty places."""
     out = np.full((len(x), degree), -1, np.int32)
     for a in range(0, len(x), 1024):
         rows = slice(a, a + 1024)
@@ -51,6 +52,10 @@ def _diverse(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
             out[a + ok, count[ok]] = near[a + ok, t]
             kept[ok, count[ok]] = c[ok]
             count[ok] += 1
+        for t in range(near.shape[1]):  # nodes with few directions, as on a line, also keep their nearest
+            few = np.flatnonzero((count < FILL) & ~(out[rows] == near[rows, t][:, None]).any(axis=1))
+            out[a + few, count[few]] = near[a + few, t]
+            count[few] += 1
     return out
 
 
