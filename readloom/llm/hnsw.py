@@ -53,21 +53,22 @@ def _diverse(x: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
             kept[ok, count[ok]] = c[ok]
             count[ok] += 1
         for t in range(near.shape[1]):  # nodes with few directions, as on a line, also keep their nearest
-            few = np.flatnonzero((count < FILL) & ~(out[rows] == near[rows, t][:, None]).any(axis=1))
+            ahead = np.einsum("nd,nd->n", x[near[rows, t]], own) > 0
+            few = np.flatnonzero((count < FILL) & ahead & ~(out[rows] == near[rows, t][:, None]).any(axis=1))
             out[a + few, count[few]] = near[a + few, t]
             count[few] += 1
     return out
 
 
-def _with_reverse(chosen: np.ndarray, room: int) -> np.ndarray:
-    """Append the reverse edges that fit into ``room`` places."""
+def _with_reverse(x: np.ndarray, chosen: np.ndarray, room: int) -> np.ndarray:
+    """Append the reverse edges that fit into ``room`` places, the nearest first."""
     n, degree = chosen.shape
     out = np.full((n, room), -1, np.int32)
     out[:, :degree] = chosen
     # choices stand first in a row
     src, slot = np.nonzero(chosen >= 0)
     dst = chosen[src, slot]
-    order = np.lexsort((src, slot, dst))
+    order = np.lexsort((src, -np.einsum("nd,nd->n", x[src], x[dst]), dst))
     src, dst = src[order].astype(np.int32), dst[order]
     fresh = ~(chosen[dst] == src[:, None]).any(axis=1)
     src, dst = src[fresh], dst[fresh]
@@ -112,7 +113,7 @@ def build(vectors: np.ndarray, seed: int) -> dict[str, np.ndarray]:
         part = x[members]
         near = _nearest(part, CANDIDATES)
         index[f"members{layer}"] = members.astype(np.int32)
-        index[f"neighbours{layer}"] = _with_reverse(_diverse(part, near, DEGREE), 2 * DEGREE)
+        index[f"neighbours{layer}"] = _with_reverse(part, _diverse(part, near, DEGREE), 2 * DEGREE)
         if layer == 0:
             parts = parts_of(index["neighbours0"])
             index["parts"] = (parts if len(parts) <= PARTS else parts[:0]).astype(np.int32)
