@@ -546,14 +546,37 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [repeats.BLOCK_BYTES, 20_000])
-def test_repeats_against_brute_force(spark, sf_dir, documents, monkeypatch, block_bytes):
-    monkeypatch.setattr(repeats, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize(("block_bytes", "part_bytes", "hot"), [(repeats.BLOCK_BYTES, repeats.PART_BYTES, repeats.HOT), (20_000, 30_000, 50), (5_000, 2_000, 2)])
+def test_repeats_against_brute_force(spark, sf_dir, documents, monkeypatch, block_bytes, part_bytes, hot):
+    for name, value in (("BLOCK_BYTES", block_bytes), ("PART_BYTES", part_bytes), ("HOT", hot)):
+        monkeypatch.setattr(repeats, name, value)
     rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
     found = sorted(tuple(r) for r in queries.op9_repeats(spark, sf_dir).collect())
     assert found == brute_repeats(rows)
 
 
+def test_words_are_compared_not_their_hashes():
+    """Where all anchors collide, suffixes of different words still hang below different nodes."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcd", k=60)) for _ in range(8)]
+    texts += [texts[0], "x " + texts[1]]
+    rows = pa.table({"doc_id": list(range(10)), "tie": [0] * 10, "block": pa.array([0] * 10, pa.int32()), "text": texts})
+    original = repeats._Suffixes._anchors
+    try:
+        repeats._Suffixes._anchors = staticmethod(lambda word: np.zeros(max(0, len(word) - 19), np.int64))
+        shared = pa.table({"block": pa.array([0], pa.int32()), "anchor": [0], "hot": [False]})
+        found = repeats._first_leaves(repeats._stretches(rows, shared))
+        news = pa.table({"block": pa.array([0] * (found.num_rows + 1), pa.int32()), "anchor": pa.array([0] + [None] * found.num_rows, pa.int64()), "row": pa.array([None, *found.column("row").to_pylist()], pa.int32()), "start": pa.array([None, *found.column("start").to_pylist()], pa.int32())})
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", span)])
+        out = repeats._cutter(fields)(rows, news).to_pylist()
+    finally:
+        repeats._Suffixes._anchors = original
+    assert [(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out] == brute_repeats(list(enumerate(texts)))
+
+
 def test_repeats_edge_cases(spark, edges, nothing):
     found = repeats.remove_repeats(edges).collect()
     rows = sorted(((r[0], r[1]) for r in edge_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
