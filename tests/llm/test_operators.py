@@ -523,8 +523,72 @@ def test_inconsistent_slots_are_no_leak(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     full = decontamination.leaks(spark.createDataFrame([(1, item), (2, item.replace("5", "8"))], "doc_id long, text string"), bench)
     assert sorted((r["doc_id"], r["kind"]) for r in full.collect()) == [(1, "exact"), (2, "reparameterised")]
-    found = decontamination.leaks(spark.createDataFrame([(3, wrong)], "doc_id long, text string"), bench).collect()
-    assert all(r["n_matched"] < r["n_windows"] or r["kind"] != "exact" for r in found)
+    assert decontamination.leaks(spark.createDataFrame([(3, wrong)], "doc_id long, text string"), bench).count() == 0
+
+
+def test_slots_inside_a_window_short_items_and_numbers(spark):
+    long = "we pack 12 boxes and carry 12 of them up"  # ten tokens, slots in the middle of every window
+    items = [(1, long), (2, "What is the capital of France"), (3, "3 4 5 6 7 8 9 10 11 12 13"), (4, "東京は日本の首都です")]
+    docs = [
+        (10, f"a b c d e. {long}"), (11, long.replace("12", "30")), (12, long.replace("12 boxes", "30 boxes")),
+        (20, "He asked: what is the capital of France? Nobody knew."), (21, "what is the capital of spain"),
+        (30, "row 3 4 5 6 7 8 9 10 11 12 13 ends"), (31, "row 13 14 15 16 17 18 19 20 21 22 23 ends"), (40, "昔、東京は日本の首都です。"),
+    ]
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect()} == {(10, 1, "exact"), (11, 1, "reparameterised"), (20, 2, "exact"), (30, 3, "exact"), (40, 4, "exact")}
+
+
+def naive_tokens(text):
+    import regex
+
+    unspaced = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+    return regex.findall(rf"(?V1)[{unspaced}]|\x01?[\p{{L}}--[{unspaced}]]+|[0-9]+(?:[.,][0-9]+)*", regex.sub(r"(?<=[\p{Ll},;:]\x20)(?=\p{Lu}\p{Ll})", "\x01", text))
+
+
+def naive_template(tokens):
+    plain = ["<name>" if t[0] == "\x01" else "<num>" if t[0] in "0123456789" else t.lower() for t in tokens]
+    return ["<unit>" if t in decontamination.UNITS else t for t in plain]
+
+
+def naive_windows(tokens, width):
+    template = naive_template(tokens)
+    for i in range(len(tokens) - width + 1):
+        part = template[i : i + width]
+        yield i, (width, *part) if sum(t[0] != "<" for t in part) >= 4 else (width, "own", *(t.lower() for t in tokens[i : i + width]))
+
+
+def naive_leaks(docs, items):
+    out = set()
+    for item, text in items:
+        tokens = naive_tokens(text)
+        width = min(8, len(tokens))
+        if not width:
+            continue
+        template, own = naive_template(tokens), {}
+        for place, w in naive_windows(tokens, width):
+            own.setdefault(w, []).append(place)
+        total = sum(map(len, own.values()))
+        for doc, words_ in docs:
+            offsets = {}
+            for place, w in naive_windows(words_, width):
+                for p in own.get(w, ()):
+                    offsets.setdefault(place - p, set()).add(p)
+            matched, equal = set(), True
+            for offset, places in offsets.items():
+                pairs = {(tokens[i], words_[i + offset]) for p in places for i in range(p, p + width) if template[i][0] == "<"}
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    matched |= places
+                    equal &= all(a == b for a, b in pairs)
+            if len(matched) / total >= 0.4:
+                out.add((doc, item, total, len(matched), "exact" if equal else "reparameterised"))
+    return out
+
+
+def test_leaks_against_naive_windows(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"], r["n_windows"], r["n_matched"], r["kind"]) for r in queries.op8_benchmark_leaks(spark, sf_dir).collect()}
+    plain = [(r["doc_id"], naive_tokens(r["text"] or "")) for r in docs.select("doc_id", "text").collect()]
+    assert found == naive_leaks(plain, [(r["item_id"], r["text"] or "") for r in items.collect()]) and found
 
 
 # substring dedup
