@@ -14,13 +14,15 @@ Defined cases: a text that is not such JSON, null or empty is plain content, as
 a ``content`` beside calls, unless null, is a message row of its own; a call without result, or a result without
 call, has ``linked`` false; of calls that repeat an identifier in a conversation the first turn counts for links and
 levels, later ones are unlinked duplicates; calls in a cycle have level -1; a call of a name without schema is
-``valid`` null; arguments that are no object are not valid; repeated rows are written each on its own; null ids and
-turns join nothing; extra columns are ignored; an empty table gives an empty result.
+``valid`` null; arguments that are no object are not valid, nor is an argument of another JSON type than its schema's
+(null too), of an unknown name, or a required one that is absent; repeated rows are written each on its own; null ids and
+turns join nothing; a very long text is parsed and written whole; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -82,26 +84,34 @@ def levels(calls: DataFrame) -> DataFrame:
     return nodes.select(*key, F.col("level").cast("int"))
 
 
+def _has_type(value: Column, wanted: Column) -> Column:
+    """Whether a variant is of a JSON type; an integer is also a number, and a whole number like 3.0 an integer."""
+    kind = F.schema_of_variant(value)
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    whole = F.coalesce(F.try_variant_get(value, "$", "double") % 1 == 0, F.lit(False))
+    return (
+        F.when(wanted == "integer", number & whole)
+        .when(wanted == "number", number)
+        .when(wanted == "boolean", kind == "BOOLEAN")
+        .when(wanted == "string", kind == "STRING")
+        .when(wanted == "array", kind.startswith("ARRAY"))
+        .when(wanted == "object", kind.startswith("OBJECT"))
+        .when(wanted == "null", kind == "VOID")
+        .otherwise(F.lit(True))
+    )
+
+
 def validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, place, valid; ``schemas`` has the columns of SCHEMA_COLUMNS."""
     known = schemas.groupBy("name").agg(F.collect_list(F.struct("argument", "type", "required")).alias("wanted"))
-    read = calls.join(known, "name", "left").withColumn("given", F.from_json("arguments", "map<string,string>"))
-
-    def right(x):
-        value = F.element_at("given", x["argument"])
-        number = value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-        fits = (
-            F.when(x["type"] == "integer", value.rlike("^-?[0-9]+$"))
-            .when(x["type"] == "number", number)
-            .when(x["type"] == "boolean", value.isin("true", "false"))
-            .when(x["type"] == "array", value.startswith("["))
-            .when(x["type"] == "object", value.startswith("{"))
-            .otherwise(F.lit(True))
-        )
-        return F.when(value.isNull(), ~x["required"]).otherwise(fits)
+    read = calls.join(known, "name", "left").withColumn("given", F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>"))
+
+    def right(x: Column) -> Column:
+        there = F.map_contains_key("given", x["argument"])
+        return F.when(~there, ~x["required"]).otherwise(_has_type(F.element_at("given", x["argument"]), x["type"]))
 
     known_keys = F.forall(F.map_keys("given"), lambda k: F.exists("wanted", lambda x: x["argument"] == k))
-    ok = F.when(F.col("wanted").isNull(), F.lit(None).cast("boolean")).when(~F.coalesce(F.col("arguments").startswith("{"), F.lit(False)), F.lit(False)).otherwise(F.forall("wanted", right) & known_keys)
+    ok = F.when(F.col("wanted").isNull(), F.lit(None).cast("boolean")).when(F.col("given").isNull(), F.lit(False)).otherwise(F.forall("wanted", right) & known_keys)
     return read.select("conv_id", "turn", "place", ok.alias("valid"))
 
 
