@@ -5,15 +5,17 @@ more with the rest of the rate as inclusion probability. Which documents get tha
 method: the probabilities of a few documents at a time move along the null space of the balancing constraints (number
 of documents and number of words) until one of them is 0 or 1. That keeps both totals exactly, chunk by chunk, and
 leaves at most two undecided documents of each chunk; those of many chunks are gathered and moved again, until a source
-has one chunk. Only its last two documents are landed by rounding, so a source misses its target by less than two
-documents' words.
+has one chunk. Its smallest ``LANDING`` documents are kept out of the last flight; with the two that the flight leaves they
+are the landing problem, solved by going through all ways to take them. No document that the flight decided is touched, and
+a source misses its target by less than its two open documents' words.
 
 Chunks are cut by hashes and each is small, so a source that holds most rows is spread over many tasks. All choices come
 from hashes of the rows, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; a source of size 0 has
 target 0 and none of its documents is taken; a source's repeated rows are equal documents of their own; ids may repeat
-or be null; an empty table gives an empty result; extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
+or be null; a very long text is one document of its size, whole; ties are broken by hashes of the rows; an empty table
+gives an empty result; extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, unused
 
 SHARE = 1.5
 MOST = 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
 CHUNK = 2_000
+#: Documents of a source, its smallest, that are left to the landing besides those that the flight leaves open.
+LANDING = 14
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -95,27 +99,34 @@ def flight(probability: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last one or two, then let up to two documents change sides if that brings the words nearer to the aim."""
-    want = float((p * size).sum())
-    p = np.round(p)
-    for most in (400, len(p)):  # pairs among the first rows, then single documents among all
-        change = np.where(p == 0, size, -size)
-        some = np.concatenate(([0.0], change[:most]))
-        after = (p * size).sum() - want + (some[:, None] + some[None, :] if most == 400 else some[:, None])
-        np.fill_diagonal(after[1:, 1:] if most == 400 else np.zeros((1, 1)), np.inf)
-        i, j = np.unravel_index(np.abs(after).argmin(), after.shape)
-        for k in {i, j} - {0}:
-            p[k - 1] = 1 - p[k - 1]
-    return p
+    """Decide the undecided rows, at most ``LANDING + 2``: of all ways to take them the one whose words are nearest to what
+    their probabilities stand for, then whose number is, then the first. Decided rows stay as they are."""
+    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    if not len(open_):
+        return np.round(p)
+    ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    words_off = np.abs(ways @ size[open_] - p[open_] @ size[open_])
+    count_off = np.abs(ways.sum(axis=1) - p[open_].sum())
+    best = np.lexsort((count_off, words_off.round(6)))[0]
+    p = p.copy()
+    p[open_] = ways[best]
+    return np.round(p)
+
+
+def _seed(keys: list[int]) -> int:
+    """From the row keys alone, so that reruns agree."""
+    return int(np.bitwise_xor.reduce(np.array(keys, np.int64))) & 0x7FFFFFFF
 
 
 def _fly(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("size", "descending"), ("row_key", "ascending"), ("p", "ascending")])  # small documents are left for the landing
-    size = rows.column("size").to_pylist()
-    keys = rows.column("row_key").to_pylist()
-    p = flight(rows.column("p").to_numpy(), size, (hash(tuple(keys[:64])) ^ len(keys)) & 0x7FFFFFFF)
-    if rows.column("last")[0].as_py():
-        p = land(p, np.array(size, float))
+    size = np.array(rows.column("size").to_pylist(), np.int64)
+    p = rows.column("p").to_numpy().copy()
+    last = rows.column("last")[0].as_py()
+    fly = max(0, len(p) - LANDING) if last else len(p)
+    p[:fly] = flight(p[:fly], size[:fly].tolist(), _seed(rows.column("row_key").to_pylist()))
+    if last:
+        p = land(p, size.astype(float))
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
@@ -149,13 +160,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with size, source_size, target and taken (repeats counted). Rows that
-    agree in id, source and text are taken alike."""
+    agree in id, source and text are taken alike. A column of ``docs`` that has one of these names, in any case, is
+    replaced; all others stay."""
     key = F.xxhash64("doc_id", "source", "text")
     sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), "source", key.alias("row_key")).groupBy("row_key", "doc_id", "source").agg(F.sum("size").alias("size"), F.max("size").alias("one"))
     planned, times = _planned(cut(sized))
-    taken = planned.select("row_key", F.col("one").alias("size"), "source_size", "target", (F.col("one") * times).cast("long").alias("taken")).filter("taken > 0")
-    clash = [c for c in ("size", "source_size", "target", "taken", "row_key") if c in docs.columns]
-    return docs.drop(*clash).withColumn("row_key", key).join(taken, "row_key").drop("row_key")
+    (name,) = unused(docs, "row_key")
+    taken = planned.select(F.col("row_key").alias(name), F.col("one").alias("size"), "source_size", "target", (F.col("one") * times).cast("long").alias("taken")).filter("taken > 0")
+    clash = [c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")]
+    return docs.drop(*clash).withColumn(name, key).join(taken, name).drop(name)
 
 
 def _planned(sized: DataFrame) -> tuple[DataFrame, Column]:
