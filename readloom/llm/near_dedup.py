@@ -11,8 +11,8 @@ spanning forest of its links. So the rows that move grow with the bucket, not wi
 
 Defined cases: a null or blank text (no word) is linked to nothing and is a class of its own row; equal texts are one
 class even if their ids repeat; null ids keep their row, with the class of their text; ties in the choice of a centre or
-of a class id go to the smaller value; extra columns, whatever their names, are ignored by ``near_duplicates`` and kept
-by ``keep_first``; an empty table gives an empty result.
+of a class id go to the smaller value; a very long text is hashed and compared whole; extra columns, whatever their names
+and types, are ignored by ``near_duplicates`` and kept by ``keep_first``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .bag_minhash import bands, overlap, shingle_bags, signatures
-from .common import cut
+from .common import cut, unused
 from .word_hash import U, pieces, words
 
 REGISTERS, ROWS, SIMILARITY, BLOCK = 100, 5, 0.8, 256
@@ -161,7 +162,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     member = member.select("node", F.explode("bands").alias("bucket"))
     stars = cut(_stars(member))
     shared = member.join(member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket").select("bucket", "node")
-    nodes = stars.select("node").union(stars.select(F.col("hub").alias("node"))).distinct()
+    nodes = shared.select("node").distinct()
     text = cut(base.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     links = cut(_verified(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), text))
     first = components(links)
@@ -193,12 +194,20 @@ def _classed(slim: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest (doc_id, row hash); blank texts all stay."""
+    """``docs`` with one row of each class: the one with the smallest (doc_id, text hash); blank texts all stay."""
     mark = _has_word(F.col("text"))
-    slim = docs.select("doc_id", _node(F.col("text")).alias("node")).filter(mark)
+    key, w_id, w_node, twin = unused(docs, "key", "w_id", "w_node", "twin")
+    marked = docs.filter(mark).withColumn(key, _node(F.col("text")))
+    slim = marked.select("doc_id", F.col(key).alias("node"))
     placed = slim.join(text_classes(docs), "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    winner = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.node").alias("w_node"))
-    kept = docs.filter(mark).join(winner, docs["doc_id"].eqNullSafe(F.col("w_id")) & (_node(docs["text"]) == F.col("w_node")), "left_semi")
-    twin = Window.partitionBy("doc_id", _node(F.col("text"))).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)])
-    kept = kept.withColumn("_twin", F.row_number().over(twin)).filter("_twin = 1").drop("_twin")
+    winner = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias(w_id), F.col("w.node").alias(w_node))
+    kept = marked.join(winner, F.col("doc_id").eqNullSafe(F.col(w_id)) & (F.col(key) == F.col(w_node)), "left_semi")
+    # rows that agree in id and text are told apart by all that they hold; maps and variants have no order and count as text
+    others = [F.col(f"`{f.name}`") if _ordered(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id", key).orderBy(*others or [F.lit(1)])
+    kept = kept.withColumn(twin, F.row_number().over(order)).filter(F.col(twin) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.filter(~mark))
+
+
+def _ordered(kind: DataType) -> bool:
+    return not any(word in kind.simpleString() for word in ("map<", "variant", "interval"))
