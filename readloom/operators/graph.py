@@ -1,10 +1,13 @@
 """De Bruijn graphs as tables: oriented arcs, unitigs by pointer doubling, coverage, and the predicates of cleaning.
 
-A k-mer stands for itself on its strand; every table holds both strands. A node is a unitig, named by its sequence.
+Nodes have 64-bit ids, signed by strand, so no sequence is ever a key: k-mers by their letters in base 4, unitigs by a hash
+of their sequence. Joining along unique links is the same operation for k-mers and for nodes after a cleaning pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,91 +21,132 @@ def arcs(reads: DataFrame, k: int) -> DataFrame:
     return edge.groupBy("e").agg(F.count("*").alias("cov")).select(F.expr(f"left(e, {k})").alias("src"), F.expr(f"right(e, {k})").alias("dst"), "cov")
 
 
-def unique_links(arc: DataFrame) -> DataFrame:
-    """src, dst of arcs that are the only way out of src and the only way into dst, without loops and hairpins."""
+def unique_links(arc: DataFrame, other: Callable[[Column], Column] = reverse_complement) -> DataFrame:
+    """src, dst of arcs that are the only way out of src and the only way into dst, without loops and hairpins; ``other``
+    gives a node's name on the other strand."""
     out = arc.groupBy("src").agg(F.count("*").alias("n_out"), F.min("dst").alias("dst")).filter("n_out = 1")
     into = arc.groupBy("dst").agg(F.count("*").alias("n_in")).filter("n_in = 1")
-    return out.join(into, "dst").filter((F.col("src") != F.col("dst")) & (F.col("dst") != reverse_complement(F.col("src")))).select("src", "dst")
+    return out.join(into, "dst").filter((F.col("src") != F.col("dst")) & (F.col("dst") != other(F.col("src")))).select("src", "dst")
 
 
-def oriented_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """kmer on both strands, n (occurrences on either)."""
-    own = explode_kmers(reads.select("seq"), k).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
-    return own.select(F.explode(F.array(F.col("kmer"), reverse_complement(F.col("kmer")))).alias("kmer"), "n")
+def kmer_code(kmer: Column, k: int) -> Column:
+    """A signed 64-bit name of a k-mer: positive for the smaller of both strands, its negative for the other.
 
+    Up to 31 letters it is the k-mer itself in base 4 (plus one), beyond that a hash of 63 bits.
+    """
+    own = canonical(kmer)
+    code = F.conv(F.translate(own, "ACGT", "0123"), 4, 10).cast("long") + 1 if k <= 31 else node_id(own)
+    return F.when(kmer == own, code).otherwise(-code)
 
-def _walk(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, top, steps, low, open: the first node of each path by pointer doubling; open: it is on a cycle, whose
-    smallest node is low."""
-    at = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("before")), "node", "left")
-    at = cut(at.select("node", F.coalesce("before", "node").alias("top"), F.col("before").isNotNull().cast("long").alias("steps"), F.least("node", F.coalesce("before", "node")).alias("low"), F.col("before").isNotNull().alias("open")))
-    rounds = max(1, at.count()).bit_length() + 1
-    for _ in range(rounds):
-        if at.filter("open").limit(1).count() == 0:
-            break
-        up = at.select(F.col("node").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("more"), F.col("low").alias("low2"), F.col("open").alias("open2"))
-        at = cut(at.join(up, "top").select("node", F.col("top2").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "low2").alias("low"), (F.col("open") & F.col("open2")).alias("open")))
-    return at
 
+def node_id(seq: Column) -> Column:
+    """A positive 63-bit name of a node, from its sequence on the strand that is kept."""
+    return F.shiftrightunsigned(F.xxhash64(seq), 1) + 1
+
+
+def _doubled(at: DataFrame) -> DataFrame:
+    up = at.select(F.col("node").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("more"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+    return at.join(up, "top").select("node", F.col("top2").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.greatest("low", "low2").alias("low"), (F.col("open") & F.col("open2")).alias("open"))
 
-def unitigs(reads: DataFrame, k: int) -> DataFrame:
-    """seq, kmer_cov, members (k-mers on seq's strand, in order) of each maximal unique path, once for both strands.
 
-    A cycle is opened before its smallest k-mer.
+def _walk(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes on paths node, top and steps, by pointer doubling: the first node of the path and how far it is. Of the
+    nodes on cycles node and low, the cycle's largest node.
+
+    Every doubling reaches the top from more nodes of a path, so when no more do, the rest lies on cycles, and only that
+    part goes on, until its largest nodes have gone round.
+    """
+    at = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("before")), "node", "left")
+    at = cut(at.select("node", F.coalesce("before", "node").alias("top"), F.col("before").isNotNull().cast("long").alias("steps"), F.greatest("node", F.coalesce("before", "node")).alias("low"), F.col("before").isNotNull().alias("open")))
+    before, left = -1, at.filter("open").count()
+    while left and left != before:
+        at = cut(_doubled(_doubled(at)))  # two doublings between cuts
+        before, left = left, at.filter("open").count()
+    paths, rings = at.filter("not open").select("node", "top", "steps"), at.filter("open")
+    if left:
+        known = -1
+        while (sums := rings.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]) != known:
+            known, rings = sums, cut(_doubled(_doubled(rings)))
+    return paths, rings.select("node", "low")
+
+
+def concatenate(nodes: DataFrame, arc: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, seq, n, kmer_cov) joined along their unique links, and the arcs (src, dst, cov) between what comes out.
+
+    Ids are signed, the negative one being the other strand; ``arc`` has both strands. A path is kept once, on the strand
+    whose sequence is smaller; a cycle is opened before its largest id and kept on the strand that has the larger one.
+    Coverages and lengths add up. ``members`` of the new nodes are the old ids in order.
     """
-    kmers = cut(oriented_kmers(reads, k))
-    links = cut(unique_links(arcs(reads, k)))
-    nodes = kmers.select(F.col("kmer").alias("node"))
-    walked = _walk(nodes, links)
-    rings = cut(walked.filter("open").select(F.col("low").alias("dst")).distinct())
+    links = cut(unique_links(arc, lambda x: -x))
+    both = nodes.select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("node"))
+    walked, cycles = _walk(both, links)
+    rings = cut(cycles.select(F.col("low").alias("dst")).distinct())
     if rings.limit(1).count():
-        links = cut(links.join(rings, "dst", "left_anti").select("src", "dst"))
-        walked = _walk(nodes, links)
-    path = walked.join(kmers, walked["node"] == kmers["kmer"]).groupBy("top").agg(F.array_sort(F.collect_list(F.struct("steps", "kmer", "n"))).alias("p"))
-    seq = F.concat(F.col("p")[0]["kmer"], F.array_join(F.transform("p", lambda x: F.when(x["steps"] > 0, F.right(x["kmer"], F.lit(1))).otherwise("")), ""))
-    out = path.select("top", seq.alias("seq"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("kmer_cov"), F.transform("p", lambda x: x["kmer"]).alias("members"))
-    # a ring and its other strand are opened at different places, so their smallest k-mers decide
+        inside = cycles.select("node")
+        opened, _ = _walk(inside, links.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(rings, "dst", "left_anti").select("src", "dst"))
+        walked = walked.unionByName(opened)
+    own = nodes.select("id", "seq", "n", "kmer_cov")
+    placed = walked.select("node", "top", "steps", F.abs("node").alias("id")).join(own, "id")
+    oriented = F.when(F.col("node") > 0, F.col("seq")).otherwise(reverse_complement(F.col("seq")))
+    path = placed.select("top", F.struct("steps", "node", oriented.alias("seq"), "n", "kmer_cov").alias("x")).groupBy("top").agg(F.array_sort(F.collect_list("x")).alias("p"))
+    seq = F.concat(F.col("p")[0]["seq"], F.array_join(F.transform("p", lambda x: F.when(x["steps"] > 0, F.substring(x["seq"], F.lit(k), F.length(x["seq"]))).otherwise("")), ""))
+    out = path.select("top", seq.alias("seq"), F.transform("p", lambda x: x["node"]).alias("members"), _total("n").alias("n"), _total("kmer_cov").alias("kmer_cov"))
     ring = out.join(rings.select(F.col("dst").alias("top"), F.lit(True).alias("ring")), "top", "left")
-    other = F.array_min(F.transform("members", reverse_complement))
-    kept = F.when(F.col("ring"), F.array_min("members") <= other).otherwise(F.col("seq") <= reverse_complement(F.col("seq")))
-    return ring.filter(kept).select("seq", "kmer_cov", "members")
+    kept = F.when(F.col("ring"), F.array_max("members") + F.array_min("members") >= 0).otherwise(F.col("seq") <= reverse_complement(F.col("seq")))
+    found = cut(ring.filter(kept).select(node_id(F.col("seq")).alias("id"), "seq", "n", "kmer_cov", "members"))
+    first, last = F.element_at("members", 1), F.element_at("members", -1)
+    tail = found.select(F.explode(F.array(F.struct(last.alias("src"), F.col("id").alias("a")), F.struct((-first).alias("src"), (-F.col("id")).alias("a")))).alias("t")).select("t.*")
+    head = found.select(F.explode(F.array(F.struct(first.alias("dst"), F.col("id").alias("b")), F.struct((-last).alias("dst"), (-F.col("id")).alias("b")))).alias("t")).select("t.*")
+    kept_arcs = arc.join(tail, "src").join(head, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "cov")
+    return found, cut(kept_arcs)
 
 
-def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
-    """kmer, node (sequence), strand (1 or -1), pos: where each k-mer, on either strand, lies in the nodes."""
-    both = nodes.select("seq", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(-1).alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("o"))
-    return explode_kmers(both.select(F.col("seq").alias("node"), "o.strand", F.col("o.s").alias("seq")), k).select("kmer", "node", "strand", "pos")
+def _total(name: str) -> Column:
+    return F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x[name])
 
 
-def node_arcs(nodes: DataFrame, arc: DataFrame, k: int) -> DataFrame:
-    """src, src_strand, dst, dst_strand, cov: arcs from the end of a node to the start of one, on both strands."""
-    both = nodes.select(F.col("seq").alias("node"), F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("seq").alias("s")), F.struct(F.lit(-1).alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("o"))
-    ends = both.select("node", "o.strand", F.expr(f"left(o.s, {k})").alias("first"), F.expr(f"right(o.s, {k})").alias("last"))
-    tail = ends.select(F.col("node").alias("src_node"), F.col("strand").alias("src_strand"), F.col("last").alias("src"))
-    head = ends.select(F.col("node").alias("dst_node"), F.col("strand").alias("dst_strand"), F.col("first").alias("dst"))
-    return arc.join(tail, "src").join(head, "dst").select(F.col("src_node").alias("src"), "src_strand", F.col("dst_node").alias("dst"), "dst_strand", "cov")
+def build(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The graph of ``reads``: nodes (id, seq, n, kmer_cov, members) and arcs (src, dst, cov) of both strands, both cut."""
+    counts = explode_kmers(reads.select("seq"), k).groupBy(canonical(F.col("kmer")).alias("seq")).agg(F.count("*").alias("kmer_cov"))
+    kmers = cut(counts.select(kmer_code(F.col("seq"), k).alias("id"), "seq", F.lit(1).cast("long").alias("n"), "kmer_cov"))
+    coded = arcs(reads, k).select(kmer_code(F.col("src"), k).alias("src"), kmer_code(F.col("dst"), k).alias("dst"), "cov")
+    return concatenate(kmers, cut(coded), k)
+
+
+def unitigs(reads: DataFrame, k: int) -> DataFrame:
+    """id, seq, n, kmer_cov, members (codes of its k-mers, in order) of each maximal unique path, once for both strands."""
+    return build(reads, k)[0]
+
+
+def kmer_index(nodes: DataFrame) -> DataFrame:
+    """code (of a k-mer on the node's strand), node, node_pos, from the ``members`` of ``build``. The other strand's code is
+    the negative one, its node the negative one, its place counted from the other end."""
+    return nodes.select(F.col("id").alias("node"), "n", F.posexplode("members").alias("node_pos", "code"))
 
 
 def read_positions(reads: DataFrame, nodes: DataFrame, k: int, *keys: str) -> DataFrame:
-    """keys, pos, node, strand, node_pos: where each k-mer of each read lies."""
-    placed = explode_kmers(reads.select(*keys, "seq"), k).select(*keys, "pos", "kmer")
-    index = kmer_index(nodes, k).select("kmer", "node", "strand", F.col("pos").alias("node_pos"))
-    return placed.join(index, "kmer").select(*keys, "pos", "node", "strand", "node_pos")
+    """keys, pos, node (signed), node_pos, node_n: where each k-mer of each read lies, on the read's strand."""
+    placed = explode_kmers(reads.select(*keys, "seq"), k).select(*keys, "pos", kmer_code(F.col("kmer"), k).alias("code"))
+    index = kmer_index(nodes).select(F.abs("code").alias("key"), F.signum("code").cast("int").alias("sign"), "node", "node_pos", F.col("n").alias("node_n"))
+    same = F.signum("code").cast("int") == F.col("sign")
+    found = placed.withColumn("key", F.abs("code")).join(index, "key")
+    return found.select(*keys, "pos", F.when(same, F.col("node")).otherwise(-F.col("node")).alias("node"), F.when(same, F.col("node_pos")).otherwise(F.col("node_n") - 1 - F.col("node_pos")).cast("int").alias("node_pos"), "node_n")
 
 
 def coverage(positions: DataFrame) -> DataFrame:
-    """node, kmer_cov, read_start_cov."""
-    return positions.groupBy("node").agg(F.count("*").alias("kmer_cov"), F.count_if(F.col("pos") == 0).alias("read_start_cov"))
+    """node, kmer_cov, read_start_cov, both strands together."""
+    return positions.groupBy(F.abs("node").alias("node")).agg(F.count("*").alias("kmer_cov"), F.count_if(F.col("pos") == 0).alias("read_start_cov"))
 
 
-def average_coverage(nodes: DataFrame, k: int) -> Column:
-    return F.col("kmer_cov") / (F.length("seq") - k + 1)
+def average_coverage() -> Column:
+    return F.col("kmer_cov") / F.col("n")
 
 
-def node_average(nodes: DataFrame, k: int, least: float = 2.0, longest: int = 31) -> DataFrame:
-    """avg_cov over nodes covered more than ``least`` and long enough: all their k-mers over all their lengths."""
-    good = nodes.filter((average_coverage(nodes, k) > least) & (F.length("seq") + 1 > longest))
-    return good.agg((F.sum("kmer_cov") / F.sum(F.length("seq") - k + 1)).alias("avg_cov"))
+def node_average(nodes: DataFrame, least: float = 2.0, longest: int = 31) -> DataFrame:
+    """avg_cov over nodes covered more than ``least`` and of ``longest`` letters or more: all their k-mers over all their
+    lengths."""
+    good = nodes.filter((average_coverage() > least) & (F.length("seq") + 1 > longest))
+    return good.agg((F.sum("kmer_cov") / F.sum("n")).alias("avg_cov"))
 
 
 def poisson_pdf(k: Column, mean: float) -> Column:
@@ -121,65 +165,104 @@ def initial_cutoff(mean: float = 2.0, p: float = 0.01) -> int:
     return c
 
 
-def initial_coverage(nodes: DataFrame, k: int, mean: float = 2.0, p: float = 0.01) -> DataFrame:
+def initial_coverage(nodes: DataFrame, mean: float = 2.0, p: float = 0.01) -> DataFrame:
     """estimate: k-mers over lengths of the nodes at or above the cutoff; twice the mean if there are none."""
-    good = nodes.filter(average_coverage(nodes, k) >= initial_cutoff(mean, p))
-    return good.agg(F.coalesce(F.sum("kmer_cov") / F.sum(F.length("seq") - k + 1), F.lit(2 * mean)).alias("estimate"))
+    good = nodes.filter(average_coverage() >= initial_cutoff(mean, p))
+    return good.agg(F.coalesce(F.sum("kmer_cov") / F.sum("n"), F.lit(2 * mean)).alias("estimate"))
 
 
 def expected_multiplicity(avg: Column, cov: Column, cutoff: Column) -> Column:
     return F.when(cov < cutoff, F.lit(0)).otherwise(F.greatest(F.lit(1), F.round(cov / avg))).cast("int")
 
 
-def degrees(node_arc: DataFrame) -> DataFrame:
-    """node, strand, n_right: arcs that leave the node on a strand (the left arcs are those of the other strand)."""
-    return node_arc.groupBy(F.col("src").alias("node"), F.col("src_strand").alias("strand")).agg(F.count("*").alias("n_right"))
-
+def sides(nodes: DataFrame, arc: DataFrame) -> DataFrame:
+    """``nodes`` with n_right and n_left, the arcs that leave a node on its own and on the other strand."""
+    d = arc.groupBy(F.abs("src").alias("id")).agg(F.count_if(F.col("src") > 0).alias("n_right"), F.count_if(F.col("src") < 0).alias("n_left"))
+    return nodes.join(d, "id", "left").fillna(0, ["n_right", "n_left"])
 
-def sides(nodes: DataFrame, node_arc: DataFrame) -> DataFrame:
-    """``nodes`` with n_right and n_left."""
-    d = degrees(node_arc)
-    right = d.filter("strand = 1").select(F.col("node").alias("seq"), "n_right")
-    left = d.filter("strand = -1").select(F.col("node").alias("seq"), F.col("n_right").alias("n_left"))
-    return nodes.join(right, "seq", "left").join(left, "seq", "left").fillna(0, ["n_right", "n_left"])
 
-
-def self_loops(sided: DataFrame, node_arc: DataFrame) -> DataFrame:
+def self_loops(sided: DataFrame, arc: DataFrame) -> DataFrame:
     """Nodes with one way in and one out, which is an arc to themselves."""
-    loops = node_arc.filter("src = dst and src_strand = 1 and dst_strand = 1").select(F.col("src").alias("seq")).distinct()
-    return sided.filter("n_right = 1 and n_left = 1").join(loops, "seq", "left_semi")
+    loops = arc.filter("src = dst").select(F.abs("src").alias("id")).distinct()
+    return sided.filter("n_right = 1 and n_left = 1").join(loops, "id", "left_semi")
 
 
 def dead_ends(sided: DataFrame) -> DataFrame:
     return sided.filter("n_right = 0 or n_left = 0")
 
 
-def two_cycles(node_arc: DataFrame) -> DataFrame:
-    """a, b (a < b): nodes with arcs to each other on the same strand."""
-    one = node_arc.filter("src_strand = dst_strand and src <> dst").select("src", "dst", "src_strand")
-    back = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "src_strand")
-    return one.join(back, ["src", "dst", "src_strand"]).filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-
-
-def drop_nodes(nodes: DataFrame, node_arc: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the nodes in ``gone`` (seq)."""
-    key = gone.select("seq").distinct()
-    left = node_arc.join(key.withColumnRenamed("seq", "src"), "src", "left_anti").join(key.withColumnRenamed("seq", "dst"), "dst", "left_anti")
-    return nodes.join(key, "seq", "left_anti"), left.select(*node_arc.columns)
-
-
-def clip_tips(nodes: DataFrame, node_arc: DataFrame, k: int, cutoff: float, longest: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the whole graph: low, short dead ends go if they are isolated, or lead to a node that another, better
-    covered one leads to. Every pass sees the graph as it was before the pass."""
-    sided = sides(nodes, node_arc)
-    low = dead_ends(sided).filter((average_coverage(nodes, k) <= cutoff) & (F.length("seq") - k + 1 <= longest))
-    alone = low.filter("n_right = 0 and n_left = 0").select("seq")
-    cov = nodes.select(F.col("seq").alias("src"), average_coverage(nodes, k).alias("avg"))
-    into = node_arc.join(cov, "src").select("src", "dst", "dst_strand", "avg")
-    best = into.groupBy("dst", "dst_strand").agg(F.max(F.struct("avg", "src")).alias("best"))
-    beaten = into.join(best, ["dst", "dst_strand"]).filter("src <> best.src").select(F.col("src").alias("seq"))
-    gone = alone.union(low.join(beaten, "seq", "left_semi").select("seq")).distinct()
-    return drop_nodes(nodes, node_arc, cut(gone))
+def two_cycles(arc: DataFrame) -> DataFrame:
+    """src, dst: arcs between two nodes that have an arc back."""
+    one = arc.filter("src <> dst and src <> -dst").select("src", "dst")
+    return one.join(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+
+
+def drop_nodes(nodes: DataFrame, arc: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the nodes in ``gone`` (id)."""
+    key = gone.select("id").distinct()
+    left = arc.withColumns({"a": F.abs("src"), "b": F.abs("dst")}).join(key.withColumnRenamed("id", "a"), "a", "left_anti").join(key.withColumnRenamed("id", "b"), "b", "left_anti")
+    return nodes.join(key, "id", "left_anti").select(*nodes.columns), left.select("src", "dst", "cov")
+
+
+def tips(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> DataFrame:
+    """id of the low (covered up to ``cutoff``), short (up to ``longest`` k-mers) nodes that one pass takes away.
+
+    These are loops and the first of two nodes in a cycle, with one way in and one out; dead ends that are isolated, or
+    have two ways or more at their other end, or lead to a node that a better covered one leads to as well. Every pass
+    sees the graph as it was before the pass, so of two tips at one place the better covered one stays, and of equal ones all.
+    """
+    sided = cut(sides(nodes.select("id", "n", "kmer_cov"), arc).withColumn("avg", average_coverage()))
+    low = sided.filter((F.col("avg") <= cutoff) & (F.col("n") <= longest))
+    through = low.filter("n_right = 1 and n_left = 1")
+    cycles = two_cycles(arc).select(F.abs("src").alias("id")).distinct()
+    ends = dead_ends(low)
+    free = ends.filter("n_right + n_left <> 1").select("id")
+    one = ends.filter("n_right + n_left = 1").select("id", "avg")
+    into = arc.withColumn("id", F.abs("src")).join(one, "id").select("id", "dst", "avg")
+    rival = arc.withColumn("other", F.abs("src")).join(sided.select(F.col("id").alias("other"), F.col("avg").alias("rival_avg")), "other").select("dst", "other", "rival_avg")
+    # the best of what leads to a place decides for all tips there
+    best = rival.join(into.select("dst").distinct(), "dst", "left_semi").groupBy("dst").agg(F.max("rival_avg").alias("best"))
+    beaten = into.join(best, "dst").filter("avg < best").select("id")
+    loops = self_loops(through, arc).select("id")
+    return cut(loops.union(through.join(cycles, "id", "left_semi").select("id")).union(free).union(beaten).distinct())
+
+
+def clip_tips(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> tuple[DataFrame, DataFrame]:
+    """One pass of ``tips`` over the whole graph."""
+    return drop_nodes(nodes, arc, tips(nodes, arc, cutoff, longest))
+
+
+def bubbles(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> DataFrame:
+    """id of low, short nodes on a parallel path: one way in and one out, from and to the same nodes as a better covered one.
+
+    Paths without branches are one node each after ``concatenate``, so nodes with equal ends are what has to be compared.
+    """
+    sided = sides(nodes.select("id", "n", "kmer_cov"), arc).withColumn("avg", average_coverage()).filter("n_right = 1 and n_left = 1")
+    out = arc.filter("src > 0").select(F.col("src").alias("id"), F.col("dst").alias("after"))
+    back = arc.filter("src < 0").select((-F.col("src")).alias("id"), (-F.col("dst")).alias("before"))
+    ended = sided.join(out, "id").join(back, "id").filter("abs(before) <> id and abs(after) <> id")
+    # a path and its other strand have the same ends
+    turned = (F.col("before") > -F.col("after")) | ((F.col("before") == -F.col("after")) & (F.col("id") < 0))
+    ends = cut(ended.select("id", "n", "avg", F.when(turned, -F.col("after")).otherwise(F.col("before")).alias("a"), F.when(turned, -F.col("before")).otherwise(F.col("after")).alias("b")))
+    best = ends.groupBy("a", "b").agg(F.max(F.struct("avg", "id")).alias("best"))
+    return ends.join(best, ["a", "b"]).filter((F.col("id") != F.col("best.id")) & (F.col("avg") <= cutoff) & (F.col("n") <= longest)).select("id")
+
+
+def clean(nodes: DataFrame, arc: DataFrame, k: int, cutoff: float, read_length: int) -> tuple[DataFrame, DataFrame]:
+    """The cleaning schedule: tips and then bubbles, each until none is left and with paths joined after every pass, under a
+    coverage cutoff that rises by 1 up to ``cutoff`` and a length that rises by k / 2 up to ``read_length``."""
+    level, longest = 1.0, k + 1
+    while True:
+        changed = True
+        while changed:
+            changed = False
+            for find in (tips, bubbles):
+                while (gone := cut(find(nodes, arc, level, longest))).limit(1).count():
+                    nodes, arc = concatenate(*drop_nodes(nodes, arc, gone), k)
+                    changed = True
+        if level >= cutoff and longest >= read_length - k:
+            return nodes, arc
+        level, longest = min(level + 1, cutoff), min(longest + k // 2, read_length)
 
 
 def chain_valid(chains: DataFrame, arc: DataFrame) -> DataFrame:

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
+    """``df`` as a table written below the folder of ``spark.checkpoint.dir`` and read again; on a single machine (``local``
+    masters) without such a folder, below a temporary one.
+
+    A checkpoint would keep the size that its plan was estimated to have. In rounds of joins with itself that estimate is
+    squared every round, and planning soon takes longer than running; a written table has the size of its files.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readloom-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="readloom-"))
+    place = f"{context.getCheckpointDir().rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -214,61 +214,136 @@ def unique_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    low = _low_reads(spark, sf_dir)
-    nodes = graph.unitigs(low, GRAPH_K)
-    return nodes, graph.node_arcs(nodes, graph.arcs(low, GRAPH_K), GRAPH_K)
+    return graph.build(_low_reads(spark, sf_dir), GRAPH_K)
 
 
-@query()
+# ids are hashes, so results name nodes by their sequence; paths are walked from their heads, rings from their largest k-mer
+_KEY = "CASE WHEN {0} <= {1} THEN '1' || {0} ELSE '0' || translate({1}, 'ACGT', 'TGCA') END"
+_NODES = f"""{SQL}, {_LOW}, {_kmers(GRAPH_K, 'lowreads')}, {_ARCS}, {_LINKS},
+counts AS (SELECT kmer, count(*) AS n FROM canon GROUP BY kmer),
+om AS (SELECT kmer, n, {_KEY.format('kmer', _RC.format('kmer'))} AS key FROM (SELECT kmer, n FROM counts UNION ALL SELECT {_RC.format('kmer')}, n FROM counts)),
+walk AS (SELECT kmer AS top, kmer AS node, kmer AS seq, n AS cov FROM om WHERE kmer NOT IN (SELECT dst FROM links)
+    UNION ALL SELECT top, dst, seq || right(dst, 1), cov + om.n FROM walk JOIN links ON node = src JOIN om ON dst = om.kmer),
+ringed AS (SELECT kmer, key FROM om WHERE kmer NOT IN (SELECT node FROM walk)),
+ring AS (SELECT kmer AS start, kmer AS node, key FROM ringed UNION SELECT start, dst, om.key FROM ring JOIN links ON node = src JOIN om ON dst = om.kmer),
+low_of AS (SELECT DISTINCT arg_max(node, key) AS top FROM ring GROUP BY start),
+round AS (SELECT top, top AS node, top AS seq, n AS cov, key AS best, {_KEY.format(_RC.format('top'), 'top')} AS other FROM low_of JOIN om ON top = kmer
+    UNION ALL SELECT top, dst, seq || right(dst, 1), cov + om.n, greatest(best, om.key), greatest(other, {_KEY.format(_RC.format('dst'), 'dst')}) FROM round JOIN links ON node = src JOIN om ON dst = om.kmer WHERE dst <> top),
+nodes AS (SELECT arg_max(seq, length(seq)) AS seq, max(cov) AS kmer_cov, max(length(seq)) - {GRAPH_K - 1} AS n FROM walk GROUP BY top HAVING arg_max(seq, length(seq)) <= {_RC.format('arg_max(seq, length(seq))')}
+    UNION ALL SELECT arg_max(seq, length(seq)), max(cov), max(length(seq)) - {GRAPH_K - 1} FROM round GROUP BY top HAVING arg_max(best, length(seq)) >= arg_max(other, length(seq))),
+both_ends AS (SELECT seq, 1 AS strand, left(seq, {GRAPH_K}) AS first, right(seq, {GRAPH_K}) AS last FROM nodes
+    UNION ALL SELECT seq, -1, left({_RC.format('seq')}, {GRAPH_K}), right({_RC.format('seq')}, {GRAPH_K}) FROM nodes),
+node_arcs AS (SELECT s.seq AS src, s.strand AS src_strand, d.seq AS dst, d.strand AS dst_strand, cov FROM arcs JOIN both_ends s ON arcs.src = s.last JOIN both_ends d ON arcs.dst = d.first),
+sided AS (SELECT seq, kmer_cov, n, kmer_cov / n AS avg, coalesce(l, 0) AS n_left, coalesce(r, 0) AS n_right FROM nodes LEFT JOIN (SELECT src AS seq, count(*) FILTER (src_strand = -1) AS l, count(*) FILTER (src_strand = 1) AS r FROM node_arcs GROUP BY src) USING (seq))"""
+
+
+def _named(nodes: DataFrame, signed: str, name: str) -> DataFrame:
+    """The key to join by, the sequence and, by the sign of the column ``signed``, the strand of a node."""
+    return nodes.select(F.col("id").alias(f"{signed}_id"), F.col("seq").alias(name))
+
+
+def _arcs_by_sequence(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    keyed = arcs.withColumns({"src_id": F.abs("src"), "dst_id": F.abs("dst"), "src_strand": F.signum("src").cast("int"), "dst_strand": F.signum("dst").cast("int")}).drop("src", "dst")
+    return keyed.join(_named(nodes, "src", "src"), "src_id").join(_named(nodes, "dst", "dst"), "dst_id").drop("src_id", "dst_id")
+
+
+@query(f"WITH RECURSIVE {_NODES} SELECT seq, CAST(kmer_cov AS BIGINT) AS kmer_cov FROM nodes")
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[0].select("seq", "kmer_cov")
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES} SELECT src, src_strand, dst, dst_strand, cov FROM node_arcs")
 def node_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[1]
+    return _arcs_by_sequence(*_graph(spark, sf_dir)).select("src", "src_strand", "dst", "dst_strand", "cov")
 
 
-@query()
+_PLACES = f"""places AS (SELECT seq, strand, CAST(p AS INTEGER) AS node_pos, substr(s, CAST(p + 1 AS BIGINT), {GRAPH_K}) AS kmer FROM (SELECT seq, strand, s, unnest(range(0, length(s) - {GRAPH_K - 1})) AS p
+    FROM (SELECT seq, 1 AS strand, seq AS s FROM nodes UNION ALL SELECT seq, -1, {_RC.format('seq')} FROM nodes))),
+positions AS (SELECT pair_id, mate, pos, places.seq AS node, strand, node_pos FROM kmers JOIN places USING (kmer))"""
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_PLACES} SELECT node, count(*) AS kmer_cov, count(*) FILTER (pos = 0) AS read_start_cov FROM positions GROUP BY node")
 def node_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = _low_reads(spark, sf_dir)
-    return graph.coverage(graph.read_positions(low, graph.unitigs(low, GRAPH_K), GRAPH_K, "pair_id", "mate"))
+    nodes = graph.unitigs(low, GRAPH_K)
+    found = graph.coverage(graph.read_positions(low, nodes, GRAPH_K, "pair_id", "mate"))
+    return found.join(nodes.select(F.col("id").alias("node"), "seq"), "node").select(F.col("seq").alias("node"), "kmer_cov", "read_start_cov")
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES}, {_PLACES} SELECT pair_id, mate, pos, node, strand, node_pos FROM positions")
+def npp_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each k-mer of each low-complexity read lies in the graph."""
+    low = _low_reads(spark, sf_dir)
+    nodes = graph.unitigs(low, GRAPH_K)
+    found = graph.read_positions(low, nodes, GRAPH_K, "pair_id", "mate").withColumns({"node_id": F.abs("node"), "strand": F.signum("node").cast("int")}).drop("node")
+    return found.join(_named(nodes, "node", "node"), "node_id").select("pair_id", "mate", "pos", "node", "strand", "node_pos")
+
+
+@query(f"WITH RECURSIVE {_NODES}, lengths AS (SELECT n, sum(n) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS upto FROM nodes) SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT CAST(sum(n) AS BIGINT) FROM nodes) AS total_length, CAST(min(n) AS INTEGER) AS n50 FROM lengths WHERE upto * 2 >= (SELECT sum(n) FROM nodes)")
 def graph_stats_n50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.n50(_graph(spark, sf_dir)[0], GRAPH_K)
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES} SELECT coalesce(CAST(sum(kmer_cov) AS DOUBLE) / sum(n), 4.0) AS estimate FROM sided WHERE avg >= {graph.initial_cutoff()}")
 def initial_cov_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.initial_coverage(_graph(spark, sf_dir)[0], GRAPH_K)
+    return graph.initial_coverage(_graph(spark, sf_dir)[0])
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES} SELECT CAST(sum(kmer_cov) AS DOUBLE) / sum(n) AS avg_cov FROM sided WHERE avg > 2 AND length(seq) + 1 > 31")
 def node_cov_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.node_average(_graph(spark, sf_dir)[0], GRAPH_K)
+    return graph.node_average(_graph(spark, sf_dir)[0])
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES}, a AS (SELECT CAST(sum(kmer_cov) AS DOUBLE) / sum(n) AS a FROM sided WHERE avg > 2 AND length(seq) + 1 > 31) SELECT seq, CAST(CASE WHEN avg < 2 THEN 0 ELSE greatest(1, round(avg / a)) END AS INTEGER) AS multiplicity FROM sided, a")
+def expected_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _graph(spark, sf_dir)[0]
+    average = graph.node_average(nodes).crossJoin(nodes.select("seq", graph.average_coverage().alias("cov")))  # one row
+    return average.select("seq", graph.expected_multiplicity(F.col("avg_cov"), F.col("cov"), F.lit(2.0)).alias("multiplicity"))
+
+
+@query(f"WITH RECURSIVE {_NODES} SELECT seq, n, avg AS avg_cov, n_left, n_right FROM sided")
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, arcs = _graph(spark, sf_dir)
+    return graph.sides(nodes, arcs).select("seq", "n", graph.average_coverage().alias("avg_cov"), "n_left", "n_right")
+
+
+@query(f"WITH RECURSIVE {_NODES} SELECT seq, CAST(kmer_cov AS BIGINT) AS kmer_cov, n_left, n_right FROM sided WHERE n_left = 0 OR n_right = 0")
 def dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dead_ends(graph.sides(*_graph(spark, sf_dir))).select("seq", "kmer_cov", "n_left", "n_right")
 
 
-@query()
+@query(f"WITH RECURSIVE {_NODES} SELECT seq, CAST(kmer_cov AS BIGINT) AS kmer_cov FROM sided WHERE n_left = 1 AND n_right = 1 AND seq IN (SELECT src FROM node_arcs WHERE src = dst AND src_strand = dst_strand)")
 def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, arcs = _graph(spark, sf_dir)
     return graph.self_loops(graph.sides(nodes, arcs), arcs).select("seq", "kmer_cov")
 
 
-@query()
+_CYCLES = "cycles AS (SELECT x.src, x.src_strand, x.dst, x.dst_strand FROM node_arcs x JOIN node_arcs y ON x.src = y.dst AND x.src_strand = y.dst_strand AND x.dst = y.src AND x.dst_strand = y.src_strand WHERE x.src <> x.dst)"
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_CYCLES} SELECT * FROM cycles")
 def two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.two_cycles(_graph(spark, sf_dir)[1])
+    nodes, arcs = _graph(spark, sf_dir)
+    return _arcs_by_sequence(nodes, graph.two_cycles(arcs)).select("src", "src_strand", "dst", "dst_strand")
 
 
-@query()
+_TIPS = f"""{_CYCLES}, small AS (SELECT * FROM sided WHERE avg <= 1 AND n <= {GRAPH_K + 1}),
+rivals AS (SELECT a.dst, a.dst_strand, a.src, s.avg FROM node_arcs a JOIN sided s ON a.src = s.seq),
+gone AS (SELECT seq FROM small WHERE n_left = 1 AND n_right = 1 AND (seq IN (SELECT src FROM node_arcs WHERE src = dst AND src_strand = dst_strand) OR seq IN (SELECT src FROM cycles))
+    UNION SELECT seq FROM small WHERE least(n_left, n_right) = 0 AND n_left + n_right <> 1
+    UNION SELECT m.seq FROM small m JOIN node_arcs a ON a.src = m.seq WHERE least(n_left, n_right) = 0 AND n_left + n_right = 1 AND EXISTS (SELECT 1 FROM rivals r WHERE r.dst = a.dst AND r.dst_strand = a.dst_strand AND r.src <> m.seq AND r.avg > m.avg))"""
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_TIPS} SELECT seq, CAST(kmer_cov AS BIGINT) AS kmer_cov FROM nodes WHERE seq NOT IN (SELECT seq FROM gone)")
 def clipped_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.clip_tips(*_graph(spark, sf_dir), GRAPH_K, 1.0, GRAPH_K + 1)[0].select("seq", "kmer_cov")
+    """One pass; of equally covered tips at one place all stay."""
+    return graph.clip_tips(*_graph(spark, sf_dir), 1.0, GRAPH_K + 1)[0].select("seq", "kmer_cov")
+
+
+@query()
+def cleaned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes after the whole cleaning schedule."""
+    return graph.clean(*_graph(spark, sf_dir), GRAPH_K, 2.0, 2 * GRAPH_K)[0].select("seq", "n", "kmer_cov")
 
 
 # the references of the benchmark, cut into runs that documents hold and runs that they do not

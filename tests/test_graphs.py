@@ -43,7 +43,8 @@ def naive_unitigs(reads, k):
 
     linked = {y for x in list(count) if (y := after(x))}
     found, used = [], set()
-    for x in sorted(count, key=lambda x: (x in linked, x)):  # starts of paths, then cycles from their smallest k-mer
+    # starts of paths, then cycles from their largest k-mer, those that are smaller than their other strand being the larger ones
+    for x in sorted(count, key=lambda x: (x not in linked, x <= rc(x), x if x <= rc(x) else rc(x).translate(str.maketrans("ACGT", "TGCA"))), reverse=True):
         if x in used:
             continue
         path = [x]
@@ -72,6 +73,22 @@ def test_a_cycle_is_one_node(spark):
     assert len(found) == 1 and len(found[0]["seq"]) == len(ring) + 4
 
 
+def test_cleaning_removes_errors_and_keeps_the_genome(spark):
+    """Tips of single errors at read ends and bubbles of errors inside go; what is left is the genome."""
+    rng = random.Random(8)
+    genome = "".join(rng.choices("ACGT", k=400))
+    reads = [genome[i : i + 60] for i in range(0, 341, 4) for _ in range(2)]
+    flip = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    for start, at in ((40, 30), (180, 25), (290, 58)):  # two bubbles and a tip
+        r = genome[start : start + 60]
+        reads.append(r[:at] + flip[r[at]] + r[at + 1 :])
+    frame = spark.createDataFrame([(r,) for r in reads], "seq string")
+    nodes, arc = graph.build(frame, 15)
+    assert nodes.count() > 3
+    nodes, arc = graph.clean(nodes, arc, 15, 2.0, 30)
+    assert [r["seq"] for r in nodes.collect()] in ([genome], [rc(genome)]) and arc.count() == 0
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)]
