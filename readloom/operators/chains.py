@@ -92,3 +92,31 @@ def seeds(positions: DataFrame, *keys: str) -> DataFrame:
     """keys, node, strand, diagonal, first, last: runs of read positions that stay on one diagonal of one node."""
     diagonal = positions.withColumn("diagonal", F.col("node_pos") - F.col("pos"))
     return diagonal.groupBy(*keys, "node", "strand", "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
+
+
+def occurrences(chains: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, at, sub: where a chain of ``wanted`` (sub), on either strand, occurs in ``chains`` (id, chain), found by its first
+    node and compared whole; places are counted from 0."""
+    both = wanted.select("sub", F.explode(F.array_distinct(F.array(F.col("sub"), rc_chain(F.col("sub"))))).alias("way")).filter("size(way) > 0")
+    placed = chains.select("id", "chain", F.posexplode("chain").alias("at", "node"))
+    hit = placed.join(both.withColumn("node", F.element_at("way", 1)), "node").filter(F.slice("chain", F.col("at") + 1, F.size("way")) == F.col("way"))
+    return hit.select("id", "at", "sub").distinct()
+
+
+def context_lengths(found: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """``found`` (order, context, next, freq) with length: k plus the k-mers of all nodes of the context and of the next
+    one; ``lengths`` has node (positive) and n."""
+    keyed = found.withColumn("key", F.xxhash64("order", "context", "next"))
+    node = keyed.select("key", F.explode(F.concat("context", F.array("next"))).alias("node")).withColumn("node", F.abs("node"))
+    total = node.join(lengths.select("node", "n"), "node").groupBy("key").agg((F.sum("n") + k).alias("length"))
+    return keyed.join(total, "key").drop("key")
+
+
+def propagated(decisions: DataFrame) -> DataFrame:
+    """``decisions`` (order, context, next, accepted) without the contexts that end with a shorter one which has a single
+    accepted next node: they cannot decide otherwise."""
+    single = decisions.groupBy("order", "context").agg(F.count_if("accepted").alias("left")).filter("left = 1").select("context")
+    ends = F.transform(F.sequence(F.lit(1), F.col("order") - 1), lambda n: F.slice("context", -n, n))
+    keyed = decisions.select("order", "context").distinct().filter("order > 1").withColumn("end", F.explode(ends))
+    gone = keyed.join(single.withColumnRenamed("context", "end"), "end", "left_semi").select("order", "context").distinct()
+    return decisions.join(gone, ["order", "context"], "left_anti")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical, explode_kmers, reverse_complement
@@ -270,3 +270,57 @@ def chain_valid(chains: DataFrame, arc: DataFrame) -> DataFrame:
     step = chains.select("id", F.explode_outer(F.when(F.size("chain") > 1, F.transform(F.sequence(F.lit(0), F.size("chain") - 2), lambda i: F.struct(F.get("chain", i).alias("src"), F.get("chain", i + 1).alias("dst"))))).alias("s"))
     known = arc.select("src", "dst").distinct().withColumn("there", F.lit(True))
     return step.select("id", "s.src", "s.dst").join(known, ["src", "dst"], "left").groupBy("id").agg(F.bool_and(F.col("src").isNull() | F.coalesce("there", F.lit(False))).alias("valid"))
+
+
+def read_start_statistics(nodes: DataFrame, least: int = 30, most: int = 100, share: float = 0.05) -> DataFrame:
+    """mean and variance (of a sample) of read starts per k-mer over the longest nodes (id, n, read_start_cov): at least
+    ``least`` of them, then as many as it takes to hold ``share`` of all k-mers, at most ``most``.
+
+    Only the ``most`` longest are ordered, so the window sees a bounded number of rows.
+    """
+    total = nodes.agg(F.sum("n").alias("total"))
+    top = nodes.orderBy(F.desc("n"), "id").limit(most)
+    order = Window.orderBy(F.desc("n"), "id")
+    ranked = top.withColumns({"at": F.row_number().over(order), "before": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    chosen = ranked.join(F.broadcast(total)).filter((F.col("at") <= least) | (F.col("before") < share * F.col("total")))  # total is one row
+    return chosen.agg(F.avg(F.col("read_start_cov") / F.col("n")).alias("mean"), F.var_samp(F.col("read_start_cov") / F.col("n")).alias("variance"))
+
+
+def multiplicity_by_score(nodes: DataFrame, mean: float, most: int = 10, close: float = 3.5, sure: float = 3.0) -> DataFrame:
+    """``nodes`` (id, n, read_start_cov) with multiplicity: the m up to ``most`` whose expected number of read starts,
+    m * mean * n with the spread of a Poisson count, is nearest in standard scores, and below ``close``; 0 if m improved
+    more than once on the way, or if the score is not below ``sure``."""
+    grid = F.sequence(F.lit(1), F.lit(most))
+    scored = nodes.withColumn("z", F.transform(grid, lambda m: F.abs(F.col("read_start_cov") - m * mean * F.col("n")) / F.sqrt(m * mean * F.col("n"))))
+    first = F.struct(F.lit(0).alias("m"), F.lit(float(close)).alias("z"), F.lit(0).alias("times"))
+    better = lambda s, m: F.when(F.get("z", m - 1) < s["z"], F.struct(m.alias("m"), F.get("z", m - 1).alias("z"), (s["times"] + 1).alias("times"))).otherwise(s)
+    kept = scored.withColumn("best", F.aggregate(grid, first, better))
+    sure_one = (F.col("best.times") == 1) & (F.col("best.z") < sure)
+    return kept.withColumn("multiplicity", F.when(sure_one, F.col("best.m")).otherwise(0)).drop("z", "best")
+
+
+def consecutive(positions: DataFrame, arc: DataFrame, *keys: str) -> DataFrame:
+    """``positions`` (keys, pos, node, node_pos, node_n) with ``follows``: whether a k-mer goes on where the one before it in
+    its read ended, in the same node or over an arc from a node's end to a node's start."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+    lagged = positions.withColumns({"p": F.lag("pos").over(order), "a": F.lag("node").over(order), "a_pos": F.lag("node_pos").over(order), "a_n": F.lag("node_n").over(order)})
+    known = arc.select(F.col("src").alias("a"), F.col("dst").alias("node"), F.lit(True).alias("arc")).distinct()
+    beside = lagged.join(known, ["a", "node"], "left")
+    inside = (F.col("a") == F.col("node")) & (F.col("node_pos") == F.col("a_pos") + 1)
+    across = F.coalesce("arc", F.lit(False)) & (F.col("a_pos") == F.col("a_n") - 1) & (F.col("node_pos") == 0)
+    return beside.withColumn("follows", F.coalesce((F.col("p") == F.col("pos") - 1) & (inside | across), F.lit(False))).select(*positions.columns, "follows")
+
+
+def node_seeds(positions: DataFrame, arc: DataFrame, *keys: str) -> DataFrame:
+    """keys, first, last, chain: the maximal runs of read positions that follow each other in the graph, and their nodes."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+    runs = consecutive(positions, arc, *keys).withColumn("run", F.sum((~F.col("follows")).cast("int")).over(order))
+    first = (F.col("node_pos") == 0) | ~F.col("follows")
+    entered = F.array_sort(F.collect_list(F.when(first, F.struct("pos", "node"))))
+    return runs.groupBy(*keys, "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.transform(entered, lambda x: x["node"]).alias("chain")).drop("run")
+
+
+def reversed_positions(positions: DataFrame, last: str) -> DataFrame:
+    """``positions`` of the read's other strand: nodes are negated, places counted from the other end; ``last`` is the column
+    with the read's last k-mer position."""
+    return positions.withColumns({"pos": F.col(last) - F.col("pos"), "node": -F.col("node"), "node_pos": F.col("node_n") - 1 - F.col("node_pos")})

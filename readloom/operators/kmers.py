@@ -94,3 +94,15 @@ def n50(nodes: DataFrame, k: int) -> DataFrame:
     run = by_length.withColumn("upto", F.sum(F.col("length") * F.col("m")).over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, 0)))
     total = by_length.agg(F.sum("m").alias("n_nodes"), F.sum(F.col("length") * F.col("m")).alias("total_length"))
     return run.join(F.broadcast(total)).filter(F.col("upto") * 2 >= F.col("total_length")).groupBy("n_nodes", "total_length").agg(F.min("length").alias("n50"))  # total is one row
+
+
+def probe(queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """``queries`` (kmer) with found and multi: whether a k-mer, on either strand, is in ``counts``, and more than once."""
+    known = counts.select(F.col("kmer").alias("own"), F.col("n").alias("known"))
+    hit = queries.withColumn("own", canonical(F.col("kmer"))).join(known, "own", "left").drop("own")
+    return hit.withColumns({"found": F.col("known").isNotNull(), "multi": F.coalesce(F.col("known") > 1, F.lit(False))}).drop("known")
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """sensitivity and specificity of ``counts`` (tp, fp, tn, fn), null without cases."""
+    return counts.select((F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))).alias("sensitivity"), (F.col("tn") / F.nullif(F.col("tn") + F.col("fp"), F.lit(0))).alias("specificity"))

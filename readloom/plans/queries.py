@@ -193,6 +193,18 @@ def poisson_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(60).select(F.col("id").cast("int").alias("k"), F.round(graph.poisson_pdf(F.col("id"), 10.0), 12).alias("p"))
 
 
+@query(
+    f"""WITH {SQL}, {_kmers(K)}, c AS (SELECT kmer, count(*) AS n FROM canon GROUP BY kmer),
+    ref AS (SELECT translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark WHERE text IS NOT NULL),
+    q AS (SELECT DISTINCT substr(seq, CAST(p + 1 AS BIGINT), {K}) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - {K - 1})) AS p FROM ref))
+    SELECT q.kmer, c.n IS NOT NULL AS found, coalesce(c.n > 1, false) AS multi FROM q LEFT JOIN c ON {_canonical('q.kmer')} = c.kmer"""
+)
+def kmer_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-mers of the benchmark, looked up among those of the reads."""
+    asked = sequence.explode_kmers(dna(spark, sf_dir, "benchmark", "item_id"), K).select("kmer").distinct()
+    return kmers.probe(asked, kmers.count_kmers(reads(spark, sf_dir), K))
+
+
 # de Bruijn graphs
 
 _ARCS = f"""wide AS (SELECT substr(seq, CAST(p + 1 AS BIGINT), {GRAPH_K + 1}) AS e FROM (SELECT seq, unnest(range(0, length(seq) - {GRAPH_K})) AS p FROM lowreads)),
@@ -346,6 +358,43 @@ def cleaned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clean(*_graph(spark, sf_dir), GRAPH_K, 2.0, 2 * GRAPH_K)[0].select("seq", "n", "kmer_cov")
 
 
+@query(f"WITH RECURSIVE {_NODES} SELECT CAST(sum(n) AS BIGINT) AS n_kmers FROM nodes")
+def graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[0].agg(F.sum("n").alias("n_kmers"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, {_PLACES}, started AS (SELECT node AS seq, count(*) FILTER (pos = 0) AS s FROM positions GROUP BY node),
+    ranked AS (SELECT n, s, row_number() OVER (ORDER BY n DESC, seq) AS nth, sum(n) OVER (ORDER BY n DESC, seq) - n AS before FROM nodes JOIN started USING (seq)),
+    chosen AS (SELECT s / n AS rate FROM ranked WHERE nth <= 100 AND (nth <= 30 OR before < 0.05 * (SELECT sum(n) FROM nodes)))
+    SELECT round(avg(rate), 9) AS mean, round(var_samp(rate), 9) AS variance FROM chosen"""
+)
+def read_start_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties of length are broken by the sequence."""
+    low = _low_reads(spark, sf_dir)
+    nodes = graph.unitigs(low, GRAPH_K)
+    started = graph.coverage(graph.read_positions(low, nodes, GRAPH_K, "pair_id", "mate"))
+    rows = nodes.join(started.select(F.col("node").alias("id"), "read_start_cov"), "id").select(F.col("seq").alias("id"), "n", "read_start_cov")
+    return graph.read_start_statistics(rows).select(F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, {_PLACES},
+    located AS (SELECT *, length(node) - {GRAPH_K - 1} AS n FROM positions),
+    lagged AS (SELECT *, lag(pos) OVER w AS p, lag(node) OVER w AS a, lag(strand) OVER w AS a_strand, lag(node_pos) OVER w AS a_pos, lag(n) OVER w AS a_n FROM located WINDOW w AS (PARTITION BY pair_id, mate ORDER BY pos)),
+    turned AS (SELECT *, CASE WHEN p = pos - 1 AND ((a = node AND a_strand = strand AND node_pos = a_pos + 1)
+        OR (a_pos = a_n - 1 AND node_pos = 0 AND EXISTS (SELECT 1 FROM node_arcs x WHERE x.src = a AND x.src_strand = a_strand AND x.dst = node AND x.dst_strand = strand))) THEN 0 ELSE 1 END AS new FROM lagged),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY pair_id, mate ORDER BY pos) AS run FROM turned)
+    SELECT pair_id, mate, min(pos) AS first, max(pos) AS last, CAST(count(*) FILTER (node_pos = 0 OR new = 1) AS INTEGER) AS n_nodes FROM runs GROUP BY pair_id, mate, run"""
+)
+def seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of each low-complexity read that the graph holds, with the number of nodes they pass."""
+    low = _low_reads(spark, sf_dir)
+    nodes, arcs = graph.build(low, GRAPH_K)
+    found = graph.node_seeds(graph.read_positions(low, nodes, GRAPH_K, "pair_id", "mate"), arcs, "pair_id", "mate")
+    return found.select("pair_id", "mate", "first", "last", F.size("chain").alias("n_nodes"))
+
+
 # the references of the benchmark, cut into runs that documents hold and runs that they do not
 
 _REF = f"""ref AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark WHERE text IS NOT NULL),
@@ -381,13 +430,13 @@ def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SUBS = f"""ways AS (SELECT id, chain FROM chains UNION ALL SELECT id, {_TURN.format('chain')} FROM chains),
 tips AS (SELECT chain, unnest(range(2, len(chain) + 1)) AS e FROM ways),
-sub AS (SELECT chain, e, unnest(range(1, least(e, 5))) AS o FROM tips),
+sub AS (SELECT chain, e, unnest(range(1, least(e, 16))) AS o FROM tips),
 contexts AS (SELECT CAST(o AS INTEGER) AS "order", array_to_string(chain[e - o : e - 1], ',') AS context, chain[e] AS next, count(*) AS freq FROM sub GROUP BY ALL)"""
 
 
 @query(f"WITH {_CHAINS}, {_SUBS} SELECT * FROM contexts")
 def markov_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chains.contexts(_chains(spark, sf_dir), 4)
+    found = chains.contexts(_chains(spark, sf_dir))
     return found.select("order", F.array_join(F.transform("context", lambda x: x.cast("string")), ",").alias("context"), "next", "freq")
 
 
@@ -411,6 +460,34 @@ def chain_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.valid_nodes(_chains(spark, sf_dir), lines.select((-F.col("l_suppkey")).cast("int").alias("node")))
 
 
+_WANTED = "wanted AS (SELECT DISTINCT chain[1:2] AS sub FROM chains WHERE len(chain) = 2)"
+
+
+@query(
+    f"""WITH {_CHAINS}, {_WANTED}, places AS (SELECT id, chain, unnest(range(1, len(chain))) AS p FROM chains)
+    SELECT DISTINCT id, CAST(p - 1 AS INTEGER) AS at, array_to_string(sub, ',') AS sub FROM places JOIN wanted ON chain[p : p + 1] = sub OR chain[p : p + 1] = {_TURN.format('sub')}"""
+)
+def chain_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the chains of two nodes occur in all chains, on either strand."""
+    every = _chains(spark, sf_dir)
+    found = chains.occurrences(every, every.filter("size(chain) = 2").select(F.col("chain").alias("sub")).distinct())
+    return found.select("id", "at", F.array_join(F.transform("sub", lambda x: x.cast("string")), ",").alias("sub"))
+
+
+@query(
+    f"""WITH {_CHAINS}, {_SUBS}, parts AS (SELECT *, string_split(context, ',') AS nodes FROM contexts),
+    total AS (SELECT "order", context, next, freq, 31 + list_sum(list_transform(nodes, lambda x: abs(CAST(x AS INTEGER)) % 9 + 1)) + abs(next) % 9 + 1 AS length FROM parts)
+    SELECT "order", context, next, freq, CAST(length AS BIGINT) AS length, round(30.0 / 100.0 * greatest(100.0 - length + 1, 0.0) * pow(0.99, length), 9) AS expected FROM total"""
+)
+def markov_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of contexts and how often each is expected; a node's length is the remainder of its number by 9, plus 1."""
+    every = chains.contexts(_chains(spark, sf_dir))
+    lengths = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("node")).distinct().withColumn("n", (F.col("node") % 9 + 1).cast("long"))
+    found = chains.context_lengths(every, lengths, 31)
+    joined = F.array_join(F.transform("context", lambda x: x.cast("string")), ",")
+    return found.select("order", joined.alias("context"), "next", "freq", "length", F.round(chains.expected_coverage(30.0, 100.0, "length"), 9).alias("expected"))
+
+
 # similarity networks
 
 _CANDIDATES = f"""c AS (SELECT kmer FROM canon GROUP BY kmer HAVING count(*) BETWEEN {pipeline.FEWEST} AND {pipeline.MOST}), m AS (SELECT DISTINCT pair_id, kmer FROM canon JOIN c USING (kmer))"""

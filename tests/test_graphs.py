@@ -188,3 +188,30 @@ def test_pipeline_keeps_every_read(spark):
     found = pipeline.run(frame, pipeline.Config(pattern="AAAAAAAAA", runs=3)).collect()
     assert sorted((r["pair_id"], r["mate"]) for r in found) == sorted((p, m) for p, *_ in rows for m in (1, 2))
     assert all(len(r["seq"]) == 90 for r in found)
+
+
+def test_multiplicity_by_score(spark):
+    rows = [(1, 100, 50), (2, 100, 100), (3, 100, 155), (4, 10, 40), (5, 1000, 0)]
+    found = {r["id"]: r["multiplicity"] for r in graph.multiplicity_by_score(spark.createDataFrame(rows, "id long, n long, read_start_cov long"), 0.5).collect()}
+
+    def naive(n, starts):
+        best, z, times = 0, 3.5, 0
+        for m in range(1, 11):
+            score = abs(starts - m * 0.5 * n) / (m * 0.5 * n) ** 0.5
+            if score < z:
+                best, z, times = m, score, times + 1
+        return best if times == 1 and z < 3 else 0
+
+    assert found == {i: naive(n, s) for i, n, s in rows} and found[1] == 1
+
+
+def test_single_survivors_settle_longer_contexts(spark):
+    rows = [(1, [1], 2, True), (1, [1], 3, False), (1, [4], 2, True), (1, [4], 5, True), (2, [7, 1], 2, True), (2, [7, 1], 3, True), (2, [7, 4], 2, True), (3, [1, 7, 4], 5, True)]
+    found = chains.propagated(spark.createDataFrame(rows, "order int, context array<int>, next int, accepted boolean")).collect()
+    # [7, 1] ends with [1], which has one next node left; [7, 4] has one itself and settles [1, 7, 4]
+    assert sorted((r["context"], r["next"]) for r in found) == [([1], 2), ([1], 3), ([4], 2), ([4], 5), ([7, 4], 2)]
+
+
+def test_positions_of_the_other_strand(spark):
+    frame = spark.createDataFrame([(0, 5, 2, 10, 3)], "pos int, node long, node_pos int, node_n long, last int")
+    assert tuple(graph.reversed_positions(frame, "last").first())[:3] == (3, -5, 7)
