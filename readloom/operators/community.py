@@ -188,8 +188,11 @@ def _louvain_levels(edges: list[tuple[int, int, float]], nodes: list[int], name:
 
 def louvain(edges: DataFrame, name: str = "modularity", seed: int = 1, alpha: float = 0.5, largest: int = 2_000_000) -> DataFrame:
     """node, level, community (its smallest node). Every connected component is optimised in a task of its own, with the
-    constants of the whole graph; a component of more than ``largest`` edges by rounds of joins instead."""
+    constants of the whole graph; a component of more than ``largest`` edges by rounds of joins instead, which know modularity
+    alone: for another quality they raise an error. Condorcet and profile move nodes on reweighted edges."""
     merged = cut(merge_edges(edges))
+    if name in ("condorcet", "profile"):
+        merged = cut(reweighted(merged, name).filter("src <= dst and w > 0").select("src", "dst", "w"))
     nodes = merged.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     where = cut(connected_components(nodes, merged))
     stats = _scalars(merged, nodes.withColumn("community", F.lit(0))).first()
@@ -206,6 +209,8 @@ def louvain(edges: DataFrame, name: str = "modularity", seed: int = 1, alpha: fl
 
     found = placed.join(small.select("component"), "component", "left_semi").groupBy("component").applyInPandas(solve, "node long, level int, community long")
     if big.limit(1).count():
+        if name != "modularity":
+            raise ValueError(f"a component has more than {largest} edges, and only modularity can be optimised at that size, not {name}")
         rest = placed.join(big.select("component"), "component", "left_semi").select("src", "dst", "w")
         found = found.union(synchronous_louvain(rest, g["m2"]))
     return found

@@ -215,3 +215,11 @@ def test_single_survivors_settle_longer_contexts(spark):
 def test_positions_of_the_other_strand(spark):
     frame = spark.createDataFrame([(0, 5, 2, 10, 3)], "pos int, node long, node_pos int, node_n long, last int")
     assert tuple(graph.reversed_positions(frame, "last").first())[:3] == (3, -5, 7)
+
+
+def test_louvain_by_profile_keeps_cliques_and_large_components_say_what_they_can(spark):
+    edges = community.merge_edges(spark.createDataFrame(cliques(6, 6), "src long, dst long, w double"))
+    found = community.flatten(community.louvain(edges, "profile"))
+    assert found.select("community").distinct().count() in (6, 7)
+    with pytest.raises(ValueError, match="modularity"):
+        community.louvain(edges, "balmod", largest=1)
