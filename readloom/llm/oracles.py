@@ -102,5 +102,27 @@ SELECT page_id, host, path, rule, coalesce(ruled, verdict, 'allow') AS verdict F
 """
 
 
+_INTEGERS = """v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+HARD_NEGATIVES = f"""
+WITH {_INTEGERS.format(scale=256, label='CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END')},
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0 AND a.label IS NOT NULL AND b.label IS NOT NULL),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
+EXACT_SEARCH = f"""
+WITH {_INTEGERS.format(scale=1024, label='NULL')},
+q AS (SELECT DISTINCT vec_id AS query_id, e AS own FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, CAST(list_inner_product(own, e) AS BIGINT) AS score FROM q JOIN v ON query_id <> vec_id AND len(own) = len(e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": NEAREST, "op4_near_duplicates": _near_duplicates(), "op7_url_filter": _url_filter(), "op9_repeats": REPEATS, "op10_secrets": _secrets()}
+    return {"op2_nearest": NEAREST, "op4_near_duplicates": _near_duplicates(), "op7_url_filter": _url_filter(), "op9_repeats": REPEATS, "op10_secrets": _secrets(), "op11_hard_negatives": HARD_NEGATIVES, "op13_exact_search": EXACT_SEARCH}
