@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 from .integer_vectors import exact_products, floored, join_small, matrix, paired, usable
 
 K, SCALE, PIVOTS, SAMPLE = 10, 1_024, 32, 2_048
@@ -45,7 +45,8 @@ def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     rows = vectors.select("v", "length").orderBy(F.xxhash64("deal"), "deal").limit(SAMPLE).collect()
     pivots = {}
     for length in sorted({r["length"] for r in rows}):
-        x, tame = floored(np.array([r["v"] for r in rows if r["length"] == length], float).reshape(-1, length), SCALE)
+        known = [r["v"] for r in rows if r["length"] == length]
+        x, tame = floored(np.array(known, float).reshape(len(known), length), SCALE)
         x, chosen = x[tame], [np.zeros(length)]
         far = (x * x).sum(axis=1)
         while len(chosen) < PIVOTS and far.max(initial=0.0) > 0:
@@ -77,7 +78,7 @@ def place(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 second[at[tame]] = order[tame, min(1, order.shape[1] - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], [*batch.schema.names, "first", "second"])
 
-    rows = cut(vectors.mapInArrow(nearest, "vec_id long, v array<double>, length int, deal long, first int, second int"))
+    rows = cut(vectors.mapInArrow(nearest, "vec_id long, v array<double>, length int, asks boolean, deal long, first int, second int"))
     fine = rows.groupBy("length", "first", "second").agg(F.count("*").alias("n"))
     cells = fine.groupBy("length", "first").agg(F.sum("n").alias("n_first"), F.collect_list(F.struct("second", "n")).alias("cells"))  # at most PIVOTS
     cells = cells.select("length", "first", "n_first", F.inline("cells"))
@@ -86,7 +87,7 @@ def place(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     dealt = join_small(rows, cells, ["length", "first", "second"])
     part = F.pmod(F.xxhash64("deal", F.lit(7)), F.col("parts")).cast("long")
     block = ((F.col("first") + 1) * (PIVOTS + 1) + F.col("cell") + 1).cast("long") * F.lit(1 << 40) + part
-    return dealt.select("vec_id", "v", "length", "deal", block.alias("block"))
+    return dealt.select("vec_id", "v", "length", "asks", "deal", block.alias("block"))
 
 
 _INDEX = pa.schema([("length", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("away", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("norm", pa.float64()), ("wild", pa.bool_())])
@@ -203,11 +204,13 @@ _FOUND = "query_key long, vec_id long, score long"
 def search(embeddings: DataFrame, is_query: Column) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``embeddings`` (vec_id, embedding) for which ``is_query`` (over
     vec_id) holds: the K highest integer inner products."""
-    vectors = usable(embeddings).withColumn("deal", F.xxhash64("vec_id", "v"))
+    (asks,) = unused(embeddings, "asks")
+    vectors = usable(embeddings.withColumn(asks, F.coalesce(is_query, F.lit(False))), F.col(asks).alias("asks"))
+    vectors = vectors.withColumn("deal", F.xxhash64("vec_id", "v"))
     pivots = choose_pivots(vectors)
     placed = cut(place(vectors, pivots))
     index = build_index(placed, pivots).withColumn("deal", F.col("block"))
-    queries = placed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", "length", "block").distinct()
+    queries = placed.filter("asks").select(F.col("vec_id").alias("query_id"), "v", "length", "block").distinct()
     queries = cut(queries.withColumn("query_key", F.monotonically_increasing_id())).withColumn("deal", F.col("query_key"))
     near = cut(paired(index, queries, ["length", "block"], 1, QUERIES).applyInArrow(_searched(pivots, False), _FOUND))
     floors = near.groupBy("query_key").agg(F.when(F.count("*") >= K, F.min("score")).alias("floor"))

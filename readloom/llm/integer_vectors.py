@@ -11,7 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -21,7 +21,7 @@ TAME = 2.0**52
 BROADCAST_ROWS = 20_000
 
 
-def usable(embeddings: DataFrame, *more: str) -> DataFrame:
+def usable(embeddings: DataFrame, *more: str | Column) -> DataFrame:
     """vec_id, v (array<double>), length and the columns of ``more``: rows with an id and a vector of finite components."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
@@ -64,6 +64,7 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], left_rows: int, r
     The rows of a key are dealt by hash into blocks of about so many rows, whatever their number, and a pair of blocks is a
     group: no group grows with the tables. Both tables have a column ``deal`` to hash.
     """
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, also where both come of one table
     counted = lambda df, n, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
     sizes = counted(left, left_rows, "left_blocks").join(counted(right, right_rows, "right_blocks"), keys)
     sizes = cut(sizes)
