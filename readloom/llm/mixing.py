@@ -5,9 +5,11 @@ more with the rest of the rate as inclusion probability. Which documents get tha
 method: the probabilities of a few documents at a time move along the null space of the balancing constraints (number
 of documents and number of words) until one of them is 0 or 1. That keeps both totals exactly, chunk by chunk, and
 leaves at most two undecided documents of each chunk; those of many chunks are gathered and moved again, until a source
-has one chunk. Its smallest ``LANDING`` documents are kept out of the last flight; with the two that the flight leaves they
-are the landing problem, solved by going through all ways to take them. No document that the flight decided is touched, and
-a source misses its target by less than its two open documents' words.
+has one chunk. From the last flight a ladder of documents is kept out: for each power of two the one whose size is nearest.
+With the two that the flight leaves they are the landing problem, whose subset sums are dense from a word to the largest
+document. Of all ways to take them the one nearest to the target is found by meeting in the middle; where none is within
+half a word, each of these documents may also be taken one time less or more, 0 to 2 times in all. No document that the
+flight decided is touched.
 
 Chunks are cut by hashes and each is small, so a source that holds most rows is spread over many tasks. All choices come
 from hashes of the rows, so reruns agree.
@@ -33,8 +35,8 @@ SHARE = 1.5
 MOST = 2.0
 WEIGHTS = (3.0, 1.0, 2.0)
 CHUNK = 2_000
-#: Documents of a source, its smallest, that are left to the landing besides those that the flight leaves open.
-LANDING = 14
+#: Documents of a source at most, one for each power of two, that are left to the landing besides those that the flight leaves.
+RUNGS = 24
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -98,18 +100,55 @@ def flight(probability: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the undecided rows, at most ``LANDING + 2``: of all ways to take them the one whose words are nearest to what
-    their probabilities stand for, then whose number is, then the first. Decided rows stay as they are."""
+def ladder(size: np.ndarray) -> list[int]:
+    """For each power of two up to the largest size the place of the document whose size is nearest, each taken once."""
+    left = {k: int(x) for k, x in enumerate(size) if x > 0}
+    rungs = []
+    for power in range(min(int(max(left.values(), default=0)).bit_length(), RUNGS)):
+        if left:
+            rungs.append(min(left, key=lambda k: abs(left[k] - (1 << power))))
+            del left[rungs[-1]]
+    return rungs
+
+
+def _nearest_way(options: np.ndarray, size: np.ndarray, want: float) -> tuple[np.ndarray, float]:
+    """How often to take each document, each one of ``options``, so that the words come nearest to ``want``, and by how much
+    they miss it. All ways of one half are sorted, and each way of the other half looks up its best complement."""
+    radix, half = len(options), len(size) // 2
+
+    def sums(part: np.ndarray) -> np.ndarray:
+        total = np.zeros(1)
+        for s in part:
+            total = (total[None, :] + options[:, None] * s).reshape(-1)  # the last document is the most significant digit
+        return total
+
+    def digits(way: int, n: int) -> list[float]:
+        return [options[way // radix**k % radix] for k in range(n)]
+
+    left, right = sums(size[:half]), sums(size[half:])
+    order = np.argsort(right, kind="stable")
+    at = np.searchsorted(right[order], want - left)
+    pairs = [(np.abs(left + right[order[k]] - want), k) for k in (np.minimum(at, len(right) - 1), np.maximum(at - 1, 0))]
+    side = int(pairs[1][0].min() < pairs[0][0].min())
+    off, places = pairs[side]
+    best = int(off.argmin())
+    return np.array(digits(best, half) + digits(int(order[places[best]]), len(size) - half)), float(off[best])
+
+
+def land(p: np.ndarray, size: np.ndarray, whole: int | None = None) -> np.ndarray:
+    """Decide the undecided rows: those of the ladder and two more. They are taken 0 or 1 times more, whichever way comes
+    nearest to the words that their probabilities stand for; if ``whole``, the times that every row is taken anyway, is given
+    and no way comes within half a word, -whole to 2 - whole times. Decided rows stay as they are."""
     open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
     if not len(open_):
         return np.round(p)
-    ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-    words_off = np.abs(ways @ size[open_] - p[open_] @ size[open_])
-    count_off = np.abs(ways.sum(axis=1) - p[open_].sum())
-    best = np.lexsort((count_off, words_off.round(6)))[0]
+    want = float(p[open_] @ size[open_])
+    way, off = _nearest_way(np.array([0.0, 1.0]), size[open_], want)
+    if whole is not None and off > 0.5:
+        wider, less = _nearest_way(np.arange(-whole, 3 - whole, dtype=float), size[open_], want)
+        way = wider if less < off - 1e-6 else way
     p = p.copy()
-    p[open_] = ways[best]
+    p[open_] = way
     return np.round(p)
 
 
@@ -119,32 +158,32 @@ def _seed(keys: list[int]) -> int:
 
 
 def _fly(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("size", "descending"), ("row_key", "ascending"), ("p", "ascending")])  # small documents are left for the landing
+    rows = rows.sort_by([("size", "descending"), ("row_key", "ascending"), ("p", "ascending")])  # what stays open is small
     size = np.array(rows.column("size").to_pylist(), np.int64)
     p = rows.column("p").to_numpy().copy()
     last = rows.column("last")[0].as_py()
-    fly = max(0, len(p) - LANDING) if last else len(p)
-    p[:fly] = flight(p[:fly], size[:fly].tolist(), _seed(rows.column("row_key").to_pylist()))
+    fly = np.setdiff1d(np.arange(len(p)), ladder(size) if last else [])
+    p[fly] = flight(p[fly], size[fly].tolist(), _seed(rows.column("row_key").to_pylist()))
     if last:
-        p = land(p, size.astype(float))
+        p = land(p, size.astype(float), rows.column("whole")[0].as_py())
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
 def balanced_extra(rows: DataFrame) -> DataFrame:
-    """Decide p of each row (row_key, source_key, size, p) as 0 or 1, balanced within each source_key."""
-    schema = "row_key long, source_key long, size long, p double, chunk int, last boolean"
+    """Decide p of each row (row_key, source_key, size, p, whole), balanced within each source_key: the whole number of times
+    that it is taken besides ``whole``, 0 or 1 but for the few rows of a landing."""
+    keep = ["row_key", "source_key", "size", "p", "whole"]
+    schema = "row_key long, source_key long, size long, p double, whole long, chunk int, last boolean"
     decided = None
-    todo = rows.select("row_key", "source_key", "size", "p")
+    todo = rows.select(*keep)
     while True:
         open_ = todo.filter("p > 0 and p < 1")
         counts = open_.groupBy("source_key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        spread = open_.join(counts, "source_key").select(
-            "row_key", "source_key", "size", "p", F.pmod(F.xxhash64("row_key", F.lit(11)), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") == 1).alias("last")
-        )
+        spread = open_.join(counts, "source_key").select(*keep, F.pmod(F.xxhash64("row_key", F.lit(11)), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") == 1).alias("last"))
         flown = cut(spread.groupBy("source_key", "chunk").applyInArrow(_fly, schema))
-        part = flown.filter("p = 0 or p = 1").select("row_key", "source_key", "size", "p")
+        part = flown.filter("not (p > 0 and p < 1)").select(*keep)
         decided = part if decided is None else decided.unionByName(part)
-        todo = flown.select("row_key", "source_key", "size", "p")
+        todo = flown.select(*keep)
         if todo.filter("p > 0 and p < 1").limit(1).count() == 0:
             return decided
 

@@ -286,7 +286,9 @@ def water_filling(sizes):
     return target
 
 
-def test_mix_comes_near_its_targets(spark, documents):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mix_comes_near_its_targets(spark, sf):
+    documents = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = documents.select("doc_id", "text", "source").collect()
     found = mixing.mix(documents).toPandas()
     sizes = Counter()
@@ -329,6 +331,19 @@ def test_landing_decides_open_rows_only():
     assert abs(abs((end - p) @ size) - min(errors)) < 1e-9
 
 
+def test_landing_takes_rows_twice_or_not_at_all_where_it_must():
+    p, size = np.full(3, 0.5), np.array([10.0, 10.0, 7.0])  # 13.5 words wanted: 10 or 17 by single rows, 14 by one row twice
+    assert mixing.land(p, size).max() == 1 and abs(mixing.land(p, size) @ size - 13.5) == 3.5
+    assert mixing.land(p, size, 0).tolist() == [0, 0, 2] and mixing.land(p, size, 1) @ size == 13
+
+
+def test_ladder_has_a_rung_for_each_power_of_two():
+    size = np.array([0, 1, 2, 3, 5, 9, 900, 1000, 17, 31, 70, 130, 250, 510, 4, 4])
+    rungs = mixing.ladder(size)
+    assert len(rungs) == 10 == len(set(rungs)) and size[rungs].tolist() == [1, 2, 4, 9, 17, 31, 70, 130, 250, 510]
+    assert mixing.ladder(np.array([0, 0])) == []
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     p, size = rng.random(500), rng.integers(1, 1000, 500)
