@@ -562,6 +562,26 @@ def test_ranks_against_dense_iteration(spark):
         assert all(abs(rank[k] - (found[h][name] if h in found else 0)) < 1e-9 for k, h in enumerate(hosts))
 
 
+def test_ranks_by_squares_and_by_steps_agree(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    squares = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    monkeypatch.setattr(url_filter, "FEW", 0)
+    for sparse in (0, 30):  # steps only, and a square or two before them
+        monkeypatch.setattr(url_filter, "SPARSE", sparse)
+        for r in url_filter.judge(pages).collect():
+            other = squares[r["page_id"]]
+            assert r["verdict"] == other["verdict"] and abs(r["trust"] - other["trust"]) + abs(r["distrust"] - other["distrust"]) < 1e-8
+
+
+def test_urls_of_any_length_repeats_and_clashing_columns(spark):
+    long = "http://a.com/" + "x" * 100_000
+    rows = [(1, long, None, "h", 1), (1, long, None, "h", 1), (2, "http://b.org/es/1", "<a href=http://a.com/>" * 20_000, None, 2), (3, None, "", "t", 3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string, trust int")
+    found = sorted((r["page_id"], r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.judge(frame).collect())
+    assert [f[:3] for f in found] == [(1, "a.com", 100_001), (1, "a.com", 100_001), (2, "b.org", 5), (3, "", 0)]
+    assert found[2][3:] == ("org/es/", "block") and found[3][3:] == (None, "allow")
+
+
 def test_ranks_converge_and_reach_far_hosts(spark):
     n = 30
     edges = [(f"h{k}", f"h{k + 1}", 1) for k in range(n)] + [("c0", "c1", 1), ("c1", "c0", 1)]
