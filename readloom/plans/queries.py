@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..operators import chains, community, consensus, graph, kmers, similarity
+from ..operators import chains, community, consensus, graph, graph_alignment, kmers, similarity
 from . import pipeline
 from .reads import SQL, dna, pairs, reads
 
@@ -395,6 +395,42 @@ def seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "mate", "first", "last", F.size("chain").alias("n_nodes"))
 
 
+# the ends of reads, aligned to the paths that go on from their longest run in the graph of k-mers seen twice; the SQL goes
+# letter by letter over k-mers, the query node by node
+
+_B, _T = graph_alignment.BAND, graph_alignment.LEAST_TENTHS
+_ALIGNMENT = f"""{SQL}, {_LOW}, {_kmers(GRAPH_K, 'lowreads')}, {_ARCS},
+solid AS (SELECT src, dst FROM arcs WHERE cov >= 2), good AS (SELECT kmer FROM canon GROUP BY kmer HAVING count(*) >= 2),
+held AS (SELECT pair_id, mate, seq, pos, kmer, lag(pos) OVER w AS p, lag(kmer) OVER w AS before FROM kmers WHERE {_canonical('kmer')} IN (SELECT kmer FROM good) WINDOW w AS (PARTITION BY pair_id, mate ORDER BY pos)),
+turned AS (SELECT h.*, CASE WHEN p = pos - 1 AND s.src IS NOT NULL THEN 0 ELSE 1 END AS new FROM held h LEFT JOIN solid s ON h.before = s.src AND h.kmer = s.dst),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY pair_id, mate ORDER BY pos) AS run FROM turned),
+seeds AS (SELECT pair_id, mate, any_value(seq) AS seq, min(pos) AS first, max(pos) AS last, arg_min(kmer, pos) AS a, arg_max(kmer, pos) AS b FROM runs GROUP BY pair_id, mate, run
+    QUALIFY row_number() OVER (PARTITION BY pair_id, mate ORDER BY last - first DESC, first) = 1),
+ends AS (SELECT pair_id, mate, 'L' AS side, {_RC.format("substr(seq, 1, first)")} AS pattern, {_RC.format('a')} AS kmer FROM seeds UNION ALL SELECT pair_id, mate, 'R', substr(seq, last + {GRAPH_K + 1}), b FROM seeds),
+states AS (SELECT pair_id, mate, side, pattern, kmer, 0 AS g, d, -3 * d AS s, '' AS lo, '' AS hi FROM (SELECT *, unnest(range(0, {_B + 1})) AS d FROM ends WHERE pattern <> '')
+    UNION ALL SELECT pair_id, mate, side, pattern, kmer, g, d, s, min(lo), max(hi) FROM (
+        SELECT *, max(s) OVER (PARTITION BY pair_id, mate, side, kmer, d) AS top FROM (
+            SELECT pair_id, mate, side, pattern, dst AS kmer, g + 1 AS g, d - del + e AS d, s - 3 * e + CASE WHEN del = 1 THEN -3 WHEN substr(pattern, g + 1 + d, 1) = right(dst, 1) THEN 1 ELSE -1 END AS s, lo || right(dst, 1) AS lo, hi || right(dst, 1) AS hi
+            FROM states JOIN solid ON kmer = src, (VALUES (0), (1)) x(del), (SELECT CAST(unnest(range(0, {2 * _B + 1})) AS INTEGER) AS e) y
+            WHERE g + d < length(pattern) AND d - del >= -{_B} AND d - del + e <= {_B} AND g + 1 + d - del + e BETWEEN 0 AND length(pattern) AND (del = 1 OR g + 1 + d >= 1))
+        WHERE 10 * (s + length(pattern) - g - d) >= {_T} * length(pattern))
+    WHERE s = top GROUP BY pair_id, mate, side, pattern, kmer, g, d, s),
+ended AS (SELECT pair_id, mate, side, max(s) AS score, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, max(s) OVER (PARTITION BY pair_id, mate, side) AS best FROM states WHERE g + d = length(pattern) AND 10 * s >= {_T} * length(pattern)) WHERE s = best GROUP BY pair_id, mate, side),
+sides AS (SELECT e.pair_id, e.mate, e.side, coalesce(score, 0) AS score, CASE WHEN pattern = '' THEN 1 WHEN lo IS NULL THEN 4 WHEN lo = hi THEN 1 ELSE 2 END AS rank, CASE WHEN lo = hi THEN lo ELSE pattern END AS letters FROM ends e LEFT JOIN ended USING (pair_id, mate, side))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ALIGNMENT} SELECT s.pair_id, s.mate, ['OPTIMAL', 'MULTIPLE', 'EXHAUSTED', 'NONE'][greatest(l.rank, r.rank)] AS status, CAST(last - first + {GRAPH_K} + l.score + r.score AS INTEGER) AS score,
+    {_RC.format('l.letters')} || substr(seq, first + 1, last - first + {GRAPH_K}) || r.letters AS corrected
+    FROM seeds s JOIN sides l ON s.pair_id = l.pair_id AND s.mate = l.mate AND l.side = 'L' JOIN sides r ON s.pair_id = r.pair_id AND s.mate = r.mate AND r.side = 'R'"""
+)
+def graph_alignment_of_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The low-complexity reads with their ends replaced by the one path of the graph that fits them best."""
+    low = _low_reads(spark, sf_dir)
+    nodes, arcs = graph_alignment.solid_graph(low, GRAPH_K, 2)
+    return graph_alignment.correct(low, nodes, arcs, GRAPH_K, ["pair_id", "mate"]).drop("visits")
+
+
 # the references of the benchmark, cut into runs that documents hold and runs that they do not
 
 _REF = f"""ref AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM benchmark WHERE text IS NOT NULL),
