@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .iterate import connected_components, cut
@@ -145,7 +146,7 @@ def _louvain_levels(edges: list[tuple[int, int, float]], nodes: list[int], name:
         inside, total, size = {v: loop[v] for v in near}, dict(deg), dict(weight)
         order, moved_at_all = sorted(near), False
         draw.shuffle(order)
-        for _ in range(100):
+        while True:
             moved = 0
             for v in order:
                 own, links = at[v], defaultdict(float)
@@ -186,13 +187,16 @@ def _louvain_levels(edges: list[tuple[int, int, float]], nodes: list[int], name:
         weight = dict(heavier)
 
 
-def louvain(edges: DataFrame, name: str = "modularity", seed: int = 1, alpha: float = 0.5, largest: int = 2_000_000) -> DataFrame:
-    """node, level, community (its smallest node). Every connected component is optimised in a task of its own, with the
-    constants of the whole graph; a component of more than ``largest`` edges by rounds of joins instead, which know modularity
-    alone: for another quality they raise an error. Condorcet and profile move nodes on reweighted edges."""
+def louvain(edges: DataFrame, name: str = "modularity", seed: int = 1, alpha: float = 0.5, largest: int = 4_096) -> DataFrame:
+    """node, level, community (its smallest node) for any of the qualities, until no node can gain.
+
+    Connected components of up to ``largest`` edges are optimised in a task each, node by node, with the constants of the
+    whole graph; larger ones by rounds of joins, see ``joined_louvain``. Both move nodes by the same gains. Condorcet and
+    profile do so on reweighted edges, which may be negative.
+    """
     merged = cut(merge_edges(edges))
     if name in ("condorcet", "profile"):
-        merged = cut(reweighted(merged, name).filter("src <= dst and w > 0").select("src", "dst", "w"))
+        merged = cut(reweighted(merged, name).filter("src <= dst").select("src", "dst", "w"))
     nodes = merged.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     where = cut(connected_components(nodes, merged))
     stats = _scalars(merged, nodes.withColumn("community", F.lit(0))).first()
@@ -209,42 +213,100 @@ def louvain(edges: DataFrame, name: str = "modularity", seed: int = 1, alpha: fl
 
     found = placed.join(small.select("component"), "component", "left_semi").groupBy("component").applyInPandas(solve, "node long, level int, community long")
     if big.limit(1).count():
-        if name != "modularity":
-            raise ValueError(f"a component has more than {largest} edges, and only modularity can be optimised at that size, not {name}")
         rest = placed.join(big.select("component"), "component", "left_semi").select("src", "dst", "w")
-        found = found.union(synchronous_louvain(rest, g["m2"]))
+        found = found.unionByName(joined_louvain(rest, name, g, seed, alpha))
     return found
 
 
-def synchronous_louvain(edges: DataFrame, m2: float, rounds: int = 10, levels: int = 5) -> DataFrame:
-    """Modularity moves for components too large for a task: in each round the half of the nodes that a hash picks move to
-    the neighbouring community with the highest gain, all at once; then the graph is coarsened."""
-    home = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")))
-    found, level_edges = None, edges
-    for level in range(1, levels + 1):
-        d = cut(degrees(level_edges).select("node", "degree"))
-        at = d.select("node", F.col("node").alias("community"))
-        moved_at_all, still = False, 0
-        for k in range(rounds):
-            total = at.join(d, "node").groupBy("community").agg(F.sum("degree").alias("total"))
-            links = neighbour_weights(level_edges, at).join(d, "node").join(total, "community")
-            own = at.withColumnRenamed("community", "own")
-            stay = F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
-            scored = links.join(own, "node").select("node", "own", "community", (F.col("w") - (F.col("total") - stay) * F.col("degree") / m2).alias("gain"))
-            best = scored.groupBy("node", "own").agg(F.max(F.struct("gain", -F.col("community"))).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"))
-            go = (F.col("b.gain") > F.greatest(F.coalesce("now", F.lit(0.0)), F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
-            new = cut(best.select("node", "own", F.when(go, -F.col("b")["col2"]).otherwise(F.col("own")).alias("community")))
-            moved = new.filter("community <> own").limit(1).count() > 0
-            at, moved_at_all, still = new.select("node", "community"), moved_at_all or moved, 0 if moved else still + 1
-            if still == 2:  # neither half of the nodes moves
+#: What counts as a gain beside the rounding of sums.
+_TINY = 1e-9
+
+
+def _worth(name: str, inside: Column, total: Column, size: Column, g: dict, alpha: float) -> Column:
+    """What a community adds to a quality, up to factors and constants of the whole graph; 0 for an empty one."""
+    n, m2, top = (F.lit(float(g[x])) for x in ("n", "m2", "top"))
+    spare = g["n"] ** 2 * g["top"] - g["m2"]
+    value = {
+        "modularity": lambda: (inside - total * total / m2) / 2,
+        "zahn": lambda: inside - top * size * size / 2,
+        "owzad": lambda: (inside - alpha * size * size * top) / 2,
+        "goldberg": lambda: inside / (2 * size),
+        "condorcet": lambda: inside / 2,
+        "devind": lambda: (inside - 2 * total * size / n + size * size * m2 / (n * n)) / 2,
+        "devuni": lambda: (inside - size * size * m2 / (n * n)) / 2,
+        "profile": lambda: inside / size - 0.5,
+        "shimalik": lambda: F.when(total > 0, inside / total).otherwise(0.0) - 1,
+        "balmod": lambda: inside - total * total / (2 * m2) - size * size * top / 2 + (n * size * top - total) * (n * size * top - total) / (2 * spare or 1.0),
+    }[name]()
+    return F.when(size > 0.5, value).otherwise(0.0)
+
+
+def _sums(both: DataFrame, own: DataFrame, at: DataFrame, worth: Callable[[Column, Column, Column], Column]) -> tuple[DataFrame, float]:
+    """community, inside, total, size, and what all are worth; ``own`` has each node's size."""
+    a, b = at.select(F.col("node").alias("src"), F.col("community").alias("ca")), at.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    edge = both.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("community")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("total"))
+    sums = cut(own.join(at, "node").groupBy("community").agg(F.sum("size").alias("size")).join(edge, "community"))
+    return sums, sums.agg(F.sum(worth(F.col("inside"), F.col("total"), F.col("size")))).first()[0] or 0.0
+
+
+def _moves(both: DataFrame, own: DataFrame, at: DataFrame, sums: DataFrame, worth: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """node, old, new, gain of the best move of every node that gains by one: what its new community is worth more with it
+    than without it, less the same of the old one."""
+    here = at.withColumnRenamed("community", "old")
+    links = both.filter("src <> dst").join(at.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("link"))
+    links = cut(links.join(here, "node"))
+    inner = links.filter("community = old").select("node", F.col("link").alias("own_link"))
+    old = sums.select(F.col("community").alias("old"), F.col("inside").alias("i"), F.col("total").alias("t"), F.col("size").alias("s"))
+    node = own.join(here, "node").join(inner, "node", "left").join(old, "old").withColumn("own_link", F.coalesce("own_link", F.lit(0.0)))
+    loss = worth(F.col("i"), F.col("t"), F.col("s")) - worth(F.col("i") - 2 * F.col("own_link") - F.col("loop"), F.col("t") - F.col("degree"), F.col("s") - F.col("own_size"))
+    node = node.withColumnRenamed("size", "own_size").select("node", "degree", "loop", "own_size", loss.alias("loss"))
+    ahead = links.filter("community <> old").join(node, "node").join(sums, "community")
+    i, t, s = F.col("inside"), F.col("total"), F.col("size")
+    gain = worth(i + 2 * F.col("link") + F.col("loop"), t + F.col("degree"), s + F.col("own_size")) - worth(i, t, s) - F.col("loss")
+    best = ahead.select("node", "old", F.struct(gain.alias("gain"), (-F.col("community")).alias("new")).alias("m")).groupBy("node", "old").agg(F.max("m").alias("m"))
+    return cut(best.select("node", "old", (-F.col("m.new")).alias("new"), F.col("m.gain").alias("gain")).filter(F.col("gain") > _TINY))
+
+
+def joined_louvain(edges: DataFrame, name: str, g: dict, seed: int = 1, alpha: float = 0.5) -> DataFrame:
+    """node, level, community (its smallest node) by rounds of joins over the whole graph, for any quality.
+
+    In a round every node finds its best move. Half of the movers, picked by hash, move at once; if that does not raise the
+    quality, as moves meet in one community, those moves are made instead that are the best of all that touch their old or
+    their new community. These share no community, so their gains hold together and add up. So the quality rises in every
+    round, and a level ends when no node can gain. Then communities become nodes, until a level moves nothing.
+    """
+    worth = lambda i, t, s: _worth(name, i, t, s, g, alpha)
+    nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    home, size = nodes.withColumn("community", F.col("node")), nodes.withColumn("size", F.lit(1.0))
+    found, level = None, 0
+    while True:
+        level += 1
+        both = cut(symmetric(edges))
+        own = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop")).join(size, "node"))
+        at = own.select("node", F.col("node").alias("community"))
+        sums, value = _sums(both, own, at, worth)
+        turn, moved = 0, False
+        while (moves := _moves(both, own, at, sums, worth)).limit(1).count():
+            touched = moves.select(F.explode(F.array("old", "new")).alias("c"), F.struct("gain", F.xxhash64("node", F.lit(seed)), "node").alias("m")).groupBy("c").agg(F.max("m").alias("m"))
+            best = touched.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")).filter("n = 2").select("node")
+            turn += 1
+            for some in (moves.filter(F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0), moves.join(best, "node", "left_semi")):
+                there = cut(at.join(some.select("node", "new"), "node", "left").select("node", F.coalesce("new", "community").alias("community")))
+                new_sums, new_value = _sums(both, own, there, worth)
+                if raised := new_value > value + _TINY:
+                    at, sums, value, moved = there, new_sums, new_value, True
+                    break
+            if not raised:  # what is left to gain is below the rounding of sums
                 break
-        if not moved_at_all and found is not None:
-            break
-        home = cut(home.join(at.select(F.col("node").alias("community"), F.col("community").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community")))
-        part = home.withColumn("level", F.lit(level)).select("node", "level", "community")
-        found = part if found is None else found.union(part)
-        level_edges = cut(coarsen(level_edges, at))
-    return found
+        if not moved:
+            return home.select("node", F.lit(1).alias("level"), "community") if found is None else found
+        low = at.groupBy("community").agg(F.min("node").alias("low"))
+        at = cut(at.join(low, "community").select("node", F.col("low").alias("community")))
+        home = cut(home.join(at.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
+        part = home.select("node", F.lit(level).alias("level"), "community")
+        found = part if found is None else found.unionByName(part)
+        edges = cut(coarsen(edges, at))
+        size = size.join(at, "node").groupBy(F.col("community").alias("node")).agg(F.sum("size").alias("size"))
 
 
 def flatten(levels: DataFrame, level: int | None = None) -> DataFrame:
@@ -255,12 +317,16 @@ def flatten(levels: DataFrame, level: int | None = None) -> DataFrame:
 
 
 def renumbered(partition: DataFrame) -> DataFrame:
-    """Communities numbered from 0 in the order of their smallest node."""
-    first = partition.groupBy("community").agg(F.min("node").alias("low"))
-    from pyspark.sql import Window
+    """Communities numbered from 0 in the order of their smallest node.
 
-    number = first.select("community", (F.row_number().over(Window.orderBy("low")) - 1).cast("long").alias("number"))
-    return partition.join(number, "community").select("node", F.col("number").alias("community"))
+    They are dealt by ranges of these nodes; the ranges' counts, a row each, give where each range's numbers begin.
+    """
+    first = partition.groupBy("community").agg(F.min("node").alias("low"))
+    dealt = cut(first.repartitionByRange("low").withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    begins = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))  # one row a partition
+    number = (F.row_number().over(Window.partitionBy("part").orderBy("low")) - 1 + F.col("begin")).cast("long")
+    return partition.join(dealt.join(begins, "part").select("community", number.alias("number")), "community").select("node", F.col("number").alias("community"))
 
 
 def comembership(partition: DataFrame) -> DataFrame:

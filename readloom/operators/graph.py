@@ -249,8 +249,10 @@ def bubbles(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> Da
 
 
 def clean(nodes: DataFrame, arc: DataFrame, k: int, cutoff: float, read_length: int) -> tuple[DataFrame, DataFrame]:
-    """The cleaning schedule: tips and then bubbles, each until none is left and with paths joined after every pass, under a
-    coverage cutoff that rises by 1 up to ``cutoff`` and a length that rises by k / 2 up to ``read_length``."""
+    """The cleaning schedule: tips and then bubbles, each until none is left, then one pass over parallel paths that branch
+    inside, all again until nothing changes and with paths joined after every pass, under a coverage cutoff that rises by 1 up to ``cutoff`` and a length that rises by k / 2 up to ``read_length``."""
+    from .paths import cut_parallel_paths  # which builds on this module
+
     level, longest = 1.0, k + 1
     while True:
         changed = True
@@ -260,6 +262,10 @@ def clean(nodes: DataFrame, arc: DataFrame, k: int, cutoff: float, read_length:
                 while (gone := cut(find(nodes, arc, level, longest))).limit(1).count():
                     nodes, arc = concatenate(*drop_nodes(nodes, arc, gone), k)
                     changed = True
+            nodes, arc, n = cut_parallel_paths(nodes, arc, k, level, longest)
+            if n:
+                nodes, arc = concatenate(nodes, arc, k)
+                changed = True
         if level >= cutoff and longest >= read_length - k:
             return nodes, arc
         level, longest = min(level + 1, cutoff), min(longest + k // 2, read_length)

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..operators import chains, community, consensus, graph, graph_alignment, kmers, similarity
+from ..operators import chains, community, consensus, graph, graph_alignment, kmers, paths, similarity
 from . import pipeline
-from .reads import SQL, dna, pairs, reads
+from .reads import BASES, LETTERS, SQL, dna, pairs, reads
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -395,6 +395,83 @@ def seed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "mate", "first", "last", F.size("chain").alias("n_nodes"))
 
 
+# paths: lengths count k-mers; nodes are named by their sequence and strand
+
+_ORIENTED = f"""oriented AS (SELECT seq, 1 AS strand, seq AS s, n, kmer_cov, n_right AS n_out, n_left AS n_in FROM sided UNION ALL SELECT seq, -1, {_RC.format('seq')}, n, kmer_cov, n_left, n_right FROM sided)"""
+_LONGEST = GRAPH_K + 1
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, {_ORIENTED},
+    step AS (SELECT src, src_strand, dst, dst_strand, cov, n, substr(s, {GRAPH_K}) AS more, n_out, n_in, kmer_cov FROM node_arcs JOIN oriented ON dst = seq AND dst_strand = strand WHERE dst <> src OR dst_strand <> src_strand),
+    branch AS (SELECT src, src_strand FROM node_arcs GROUP BY src, src_strand HAVING count(*) > 1),
+    ways AS (SELECT src, src_strand, dst AS color, dst_strand AS color_strand, dst AS node, dst_strand AS strand, n AS len, more AS letters, [(dst, dst_strand)] AS path FROM step JOIN branch USING (src, src_strand)
+        UNION ALL SELECT w.src, w.src_strand, color, color_strand, t.dst, t.dst_strand, len + n, min(letters || more), arg_min(list_append(path, (t.dst, t.dst_strand)), letters || more)
+        FROM ways w JOIN step t ON w.node = t.src AND w.strand = t.src_strand WHERE len <= {_LONGEST} AND (t.dst <> w.src OR t.dst_strand <> w.src_strand) GROUP BY w.src, w.src_strand, color, color_strand, t.dst, t.dst_strand, len + n),
+    best AS (SELECT src, src_strand, color, color_strand, node, strand, arg_min(letters, (len, letters)) AS letters, arg_min(path, (len, letters)) AS path FROM ways GROUP BY src, src_strand, color, color_strand, node, strand QUALIFY count(*) OVER (PARTITION BY src, src_strand, node, strand) > 1),
+    way AS (SELECT *, row_number() OVER () AS id, coalesce(path[-2][1], src) AS fs, coalesce(path[-2][2], src_strand) AS fss FROM best),
+    place AS (SELECT id, i, p[1] AS seq, p[2] AS strand FROM (SELECT id, unnest(range(1, len(path))) AS i, unnest(path[:-2]) AS p FROM way WHERE len(path) > 1)),
+    inner_nodes AS (SELECT id, i, n, kmer_cov, n_out, n_in FROM place JOIN oriented USING (seq, strand)),
+    cuts AS (SELECT id, len(path) - 1 AS m, coalesce(max(i) FILTER (n_out <> 1), 0) + 1 AS first, coalesce(min(i) FILTER (n_in <> 1) - 1, len(path) - 1) AS last FROM way LEFT JOIN inner_nodes USING (id) GROUP BY id, len(path)),
+    own AS (SELECT id, CAST(sum(kmer_cov) AS BIGINT) / CAST(sum(n) AS BIGINT) AS cov FROM inner_nodes JOIN cuts USING (id) WHERE i BETWEEN first AND last GROUP BY id),
+    w AS (SELECT way.*, own.cov, CASE WHEN last = m THEN f.cov END AS final, CASE WHEN first = 1 THEN b.cov END AS begin,
+        right(o.s, {GRAPH_K - 1}) || left(letters, length(letters) - length(way.node) + {GRAPH_K - 1}) AS spelled
+        FROM way JOIN cuts USING (id) LEFT JOIN own USING (id) JOIN oriented o ON way.src = o.seq AND way.src_strand = o.strand
+        JOIN node_arcs f ON f.src = fs AND f.src_strand = fss AND f.dst = way.node AND f.dst_strand = way.strand JOIN node_arcs b ON b.src = way.src AND b.src_strand = way.src_strand AND b.dst = color AND b.dst_strand = color_strand),
+    named AS (SELECT * REPLACE ({_canonical('spelled')} AS spelled) FROM w),
+    meets AS (SELECT a.src, a.src_strand, a.node AS dst, a.strand AS dst_strand, a.spelled AS sa, b.spelled AS sb, a.cov AS ca, b.cov AS cb, a.final AS fa, b.final AS fb, a.begin AS ba, b.begin AS bb
+        FROM named a JOIN named b ON a.src = b.src AND a.src_strand = b.src_strand AND a.node = b.node AND a.strand = b.strand AND a.id < b.id WHERE a.fs <> b.fs OR a.fss <> b.fss),
+    judged AS (SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL AND least(ca, cb) <= 2 THEN 'NODES' WHEN least(fa, fb) <= 2 THEN 'FINAL' WHEN least(ba, bb) <= 2 THEN 'FIRST' END AS lost FROM meets),
+    valued AS (SELECT *, CASE lost WHEN 'NODES' THEN ca WHEN 'FINAL' THEN fa ELSE ba END AS x, CASE lost WHEN 'NODES' THEN cb WHEN 'FINAL' THEN fb ELSE bb END AS y FROM judged WHERE lost IS NOT NULL)
+    SELECT src, src_strand, dst, dst_strand, lost, CASE WHEN goes THEN sb ELSE sa END AS kept, CASE WHEN goes THEN sa ELSE sb END AS gone
+    FROM (SELECT *, CASE WHEN x = y THEN sa > sb ELSE coalesce(x < y, y IS NULL) END AS goes FROM valued)"""
+)
+def parallel_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways between the same two nodes, branches inside included, and what a pass of bubble removal takes of the weaker one."""
+    nodes, arcs = _graph(spark, sf_dir)
+    found = paths.parallel_paths(nodes, arcs, GRAPH_K, 2.0, _LONGEST)
+    return _arcs_by_sequence(nodes, found).select("src", "src_strand", "dst", "dst_strand", "lost", "kept", "gone")
+
+
+# the references of the benchmark against the graph of the low-complexity reads
+
+_BREAKS = f"""{_NODES}, {_PLACES.replace('positions AS', 'read_places AS')},
+wanted AS (SELECT item_id, seq AS ref, length(seq) - {GRAPH_K} AS stop FROM (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE length(seq) >= {GRAPH_K}),
+windows AS (SELECT item_id, CAST(p AS INTEGER) AS pos, substr(ref, CAST(p + 1 AS BIGINT), {GRAPH_K}) AS kmer FROM (SELECT item_id, ref, unnest(range(0, stop + 1)) AS p FROM wanted)),
+held AS (SELECT item_id, pos, places.seq AS node, strand, node_pos, length(places.seq) - {GRAPH_K - 1} AS n FROM windows JOIN places USING (kmer)),
+lagged AS (SELECT *, lag(pos) OVER w AS p, lag(node) OVER w AS a, lag(strand) OVER w AS a_strand, lag(node_pos) OVER w AS a_pos, lag(n) OVER w AS a_n FROM held WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+turned AS (SELECT *, CASE WHEN p = pos - 1 AND ((a = node AND a_strand = strand AND node_pos = a_pos + 1)
+    OR (a_pos = a_n - 1 AND node_pos = 0 AND EXISTS (SELECT 1 FROM node_arcs x WHERE x.src = a AND x.src_strand = a_strand AND x.dst = node AND x.dst_strand = strand))) THEN 0 ELSE 1 END AS new FROM lagged),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM turned),
+contigs AS (SELECT item_id, run, min(pos) AS first, max(pos) AS last, arg_min((node, strand, node_pos, n), pos) AS a, arg_max((node, strand, node_pos, n), pos) AS b FROM numbered GROUP BY item_id, run),
+gaps AS (SELECT item_id, lag(last) OVER w + 1 AS first, first - 1 AS last, lag(b) OVER w AS b, a FROM contigs WINDOW w AS (PARTITION BY item_id ORDER BY run)),
+asked AS (SELECT *, greatest(100, 2 * (last - first + 1)) AS most FROM gaps WHERE first IS NOT NULL),
+num AS MATERIALIZED (SELECT seq, n, row_number() OVER (ORDER BY seq) AS id FROM sided),
+step AS MATERIALIZED (SELECT s.id * src_strand AS node, d.id * dst_strand AS next, d.n FROM node_arcs JOIN num s ON src = s.seq JOIN num d ON dst = d.seq),
+both_ways AS MATERIALIZED (SELECT item_id, first, row_number() OVER (ORDER BY item_id, first) * way AS key, way, most, way * b[2] * x.id AS src, CASE WHEN way = 1 THEN b[3] ELSE b[4] - 1 - b[3] END AS sp, b[4] AS sn, way * a[2] * y.id AS dst, CASE WHEN way = 1 THEN a[3] ELSE a[4] - 1 - a[3] END AS dp
+    FROM asked JOIN num x ON b[1] = x.seq JOIN num y ON a[1] = y.seq, (VALUES (1), (-1)) w(way)),
+reach AS (SELECT key, src AS node, sn - sp AS dist, dst, most - dp AS room FROM both_ways WHERE sn - sp <= most - dp AND NOT (src = dst AND sp <= dp AND dp - sp <= most)
+    UNION SELECT key, next, dist + n, dst, room FROM reach JOIN step USING (node) WHERE dist + n <= room),
+met AS (SELECT key, dp - sp AS distance FROM both_ways WHERE src = dst AND sp <= dp AND dp - sp <= most
+    UNION ALL SELECT key, min(dist) + (SELECT dp FROM both_ways w WHERE w.key = r.key) FROM reach r JOIN step USING (node) WHERE next = dst GROUP BY key),
+shortest AS (SELECT item_id, first, coalesce(min(distance) FILTER (way = 1), min(distance)) AS distance FROM met JOIN both_ways USING (key) GROUP BY item_id, first),
+outer_ends AS (SELECT item_id, stop, min(first) AS low, max(last) AS high FROM wanted LEFT JOIN contigs USING (item_id) GROUP BY item_id, stop)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_BREAKS}
+    SELECT item_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, 'CONTIG' AS kind, CAST(NULL AS BIGINT) AS distance FROM contigs
+    UNION ALL SELECT item_id, first, last, CASE WHEN distance IS NULL THEN 'BREAK' WHEN last < first THEN 'INSERTION' WHEN a[1] = b[1] AND a[2] = b[2] AND a[3] = b[3] THEN 'DELETION' ELSE 'PARALLEL' END, distance FROM asked LEFT JOIN shortest USING (item_id, first)
+    UNION ALL SELECT item_id, 0, low - 1, 'DELETION', NULL FROM outer_ends WHERE low > 0 UNION ALL SELECT item_id, high + 1, stop, 'DELETION', NULL FROM outer_ends WHERE high < stop
+    UNION ALL SELECT item_id, 0, stop, 'DELETION', NULL FROM outer_ends WHERE low IS NULL"""
+)
+def break_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references as runs that the graph of the low-complexity reads holds and breaks of four kinds."""
+    nodes, arcs = _graph(spark, sf_dir)
+    references = dna(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("doc_id", "item_id")
+    return paths.annotated_breaks(references, nodes, arcs, GRAPH_K, "item_id").select("item_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "kind", "distance")
+
+
 # the ends of reads, aligned to the paths that go on from their longest run in the graph of k-mers seen twice; the SQL goes
 # letter by letter over k-mers, the query node by node
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READ = 100
-_LETTERS, _BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
+LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 #: Pairs of one document get ids from doc_id * PAIRS on.
 PAIRS = 1 << 20
 
 SQL = f"""
-dna AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS}', '{_BASES}') AS seq FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dna AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 placed AS (SELECT doc_id, seq, unnest(range(0, length(seq) // {READ})) AS i FROM dna),
 reads AS (SELECT doc_id * {PAIRS} + i // 2 AS pair_id, CAST(i % 2 + 1 AS INTEGER) AS mate, substr(seq, CAST(i * {READ} + 1 AS BIGINT), {READ}) AS seq FROM placed),
 pairs AS (SELECT a.pair_id, a.seq AS seq1, b.seq AS seq2 FROM reads a JOIN reads b ON a.pair_id = b.pair_id AND a.mate = 1 AND b.mate = 2)"""
@@ -31,7 +31,7 @@ def spread(docs: DataFrame, key: str) -> DataFrame:
 def dna(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
     """doc_id, seq of the texts of a table whose rows are named by ``key``."""
     docs = spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(key, "text")
-    return spread(docs, key).select(F.col(key).alias("doc_id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _BASES).alias("seq"))
+    return spread(docs, key).select(F.col(key).alias("doc_id"), F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.operators import chains, community, consensus, correction, graph
 from readloom.operators.iterate import connected_components
@@ -217,9 +218,72 @@ def test_positions_of_the_other_strand(spark):
     assert tuple(graph.reversed_positions(frame, "last").first())[:3] == (3, -5, 7)
 
 
-def test_louvain_by_profile_keeps_cliques_and_large_components_say_what_they_can(spark):
+def test_louvain_by_profile_keeps_cliques(spark):
     edges = community.merge_edges(spark.createDataFrame(cliques(6, 6), "src long, dst long, w double"))
     found = community.flatten(community.louvain(edges, "profile"))
     assert found.select("community").distinct().count() in (6, 7)
-    with pytest.raises(ValueError, match="modularity"):
-        community.louvain(edges, "balmod", largest=1)
+
+
+def test_louvain_keeps_nodes_of_negative_edges(spark):
+    edges = spark.createDataFrame([(1, 1, 9.0), (1, 2, 1.0), (3, 4, 5.0)], "src long, dst long, w double")
+    for largest in (0, 100):
+        found = community.louvain(edges, "condorcet", largest=largest).filter("level = 1")
+        assert sorted(r["node"] for r in found.collect()) == [1, 2, 3, 4]
+
+
+@pytest.fixture(scope="module")
+def knots(spark):
+    """Groups of nodes that are tied more closely inside, with weights, loops and two components."""
+    rng = random.Random(8)
+    edges = [(0, 0, 2.0), (41, 41, 1.0)]
+    for a in range(48):
+        for b in range(a):
+            if (a < 40) == (b < 40) and rng.random() < (0.7 if a // 8 == b // 8 else 0.06):
+                edges.append((a, b, float(rng.randint(1, 4))))
+    return spark.createDataFrame(edges, "src long, dst long, w double").cache()
+
+
+def test_gains_of_joins_are_those_of_single_moves(spark):
+    """For every quality: worth with a node less worth without it ranks communities as the gain of a single move does."""
+    rng = random.Random(3)
+    g = {"n": 30.0, "m2": 400.0, "top": 6.0}
+    rows = [(float(rng.randint(0, 40)), float(rng.randint(40, 90)), float(rng.randint(1, 9)), float(rng.randint(0, 9)), float(rng.randint(9, 30)), float(rng.randint(0, 5)), float(rng.randint(1, 3))) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "inside double, total double, size double, link double, deg double, loop double, wu double")
+    c = F.col
+    for name in community.QUALITIES:
+        worth = lambda i, t, s: community._worth(name, i, t, s, g, 0.5)  # noqa: B023, E731
+        gain = worth(c("inside") + 2 * c("link") + c("loop"), c("total") + c("deg"), c("size") + c("wu")) - worth(c("inside"), c("total"), c("size")) - worth(c("loop"), c("deg"), c("wu"))
+        for r in frame.withColumn("gain", gain).collect():
+            single = lambda i, t, s: community._gain(name, 0.0 if s == 0 else r["link"], r["deg"], r["loop"], r["wu"], i, t, s, g, 0.5)  # noqa: B023, E731
+            assert abs(r["gain"] - (single(r["inside"], r["total"], r["size"]) - single(0.0, 0.0, 0.0))) < 1e-9, name
+
+
+@pytest.mark.parametrize("name", ["modularity", "condorcet", "shimalik"])
+def test_louvain_by_joins_is_as_good_as_node_by_node(spark, knots, name):
+    merged = community.merge_edges(knots)
+    nodes = {r["node"] for r in merged.selectExpr("explode(array(src, dst)) AS node").collect()}
+    value = lambda part: community.quality(merged, part, name).first()["quality"]
+    ends = {}
+    for largest in (0, 10**9):
+        levels = community.louvain(knots, name, largest=largest).cache()
+        seen = defaultdict(dict)
+        for r in levels.collect():
+            assert r["node"] not in seen[r["level"]]
+            seen[r["level"]][r["node"]] = r["community"]
+        for part in seen.values():
+            groups = defaultdict(set)
+            for node, c in part.items():
+                groups[c].add(node)
+            assert all(c == min(g) for c, g in groups.items())
+        assert set(seen[1]) == nodes
+        ends[largest] = value(community.flatten(levels))
+        if largest == 0:
+            values = [value(levels.filter(f"level = {k}").select("node", "community")) for k in sorted(seen)]
+            assert all(b >= a - 1e-9 for a, b in zip(values, values[1:], strict=False)) and set(map(len, seen.values())) == {len(nodes)}
+    alone = value(spark.createDataFrame([(v, v) for v in nodes], "node long, community long"))
+    assert ends[0] >= ends[10**9] - 0.05 * abs(ends[10**9] - alone) and ends[0] >= alone - 1e-9
+
+
+def test_communities_are_numbered_by_their_smallest_node(spark):
+    part = spark.createDataFrame([(n, 100 - n // 3) for n in range(50)], "node long, community long").repartition(7)
+    assert {r["node"]: r["community"] for r in community.renumbered(part).collect()} == {n: n // 3 for n in range(50)}
