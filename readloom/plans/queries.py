@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence
 from ..operators import chains, community, consensus, graph, graph_alignment, kmers, paths, similarity
+from ..operators.iterate import cut
 from . import pipeline
 from .reads import BASES, LETTERS, SQL, dna, pairs, reads
 
@@ -710,6 +711,28 @@ def louvain_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.louvain(_edges(spark, sf_dir))
 
 
+@query(f"WITH {_EDGES}, n AS (SELECT count(*) AS n FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) SELECT n AS n_nodes, n AS n_placed, CAST(0 AS BIGINT) AS n_wrong_names, true AS rising, true AS better_than_alone FROM n")
+def louvain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every level: all nodes once, communities named by their smallest node, no level worse than the last."""
+    edges = cut(_edges(spark, sf_dir))
+    levels = cut(community.louvain(edges))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    per_level = levels.groupBy("level").agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes"))
+    named = levels.groupBy("level", "community").agg(F.min("node").alias("low")).agg(F.count_if(F.col("low") != F.col("community")).alias("n_wrong_names"))
+    depth = levels.agg(F.max("level")).first()[0] or 0
+    values = [community.quality(edges, levels.filter(F.col("level") == k).select("node", "community"), "modularity") for k in range(1, depth + 1)]
+    values = [community.quality(edges, nodes.select("node", F.col("node").alias("community")), "modularity"), *values]
+    ranked = values[0].withColumn("k", F.lit(0))
+    for k, one in enumerate(values[1:], 1):
+        ranked = ranked.unionByName(one.withColumn("k", F.lit(k)))  # a row a level
+    ends = ranked.agg(F.array_sort(F.collect_list(F.struct("k", "quality"))).alias("q"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("q") - 1), lambda k: F.get("q", k)["quality"] >= F.get("q", k - 1)["quality"] - 1e-9)
+    checks = ends.select(F.forall(steps, lambda x: x).alias("rising"), (F.element_at("q", -1)["quality"] > F.get("q", F.lit(0))["quality"]).alias("better_than_alone"))
+    # one row each
+    placed = per_level.agg(F.when(F.max("rows") == F.max("nodes"), F.min("nodes")).otherwise(-1).alias("n_placed"))
+    return nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(placed)).join(F.broadcast(named)).join(F.broadcast(checks))
+
+
 @query()
 def hierarchy_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.renumbered(community.flatten(community.louvain(_edges(spark, sf_dir))))
