@@ -270,9 +270,9 @@ def _moves(both: DataFrame, own: DataFrame, at: DataFrame, sums: DataFrame, wort
 def joined_louvain(edges: DataFrame, name: str, g: dict, seed: int = 1, alpha: float = 0.5) -> DataFrame:
     """node, level, community (its smallest node) by rounds of joins over the whole graph, for any quality.
 
-    In a round every node finds its best move. Half of the movers, picked by hash, move at once; if that does not raise the
-    quality, as moves meet in one community, those moves are made instead that are the best of all that touch their old or
-    their new community. These share no community, so their gains hold together and add up. So the quality rises in every
+    In a round every node finds its best move. Moves that are the best of all that touch their old or their new community
+    share no community, so their gains hold together and add up. They and half of the other movers, picked by hash, move at
+    once; if that does not raise the quality, as moves meet in one community, they move alone. So the quality rises in every
     round, and a level ends when no node can gain. Then communities become nodes, until a level moves nothing.
     """
     worth = lambda i, t, s: _worth(name, i, t, s, g, alpha)
@@ -290,7 +290,9 @@ def joined_louvain(edges: DataFrame, name: str, g: dict, seed: int = 1, alpha: f
             touched = moves.select(F.explode(F.array("old", "new")).alias("c"), F.struct("gain", F.xxhash64("node", F.lit(seed)), "node").alias("m")).groupBy("c").agg(F.max("m").alias("m"))
             best = touched.groupBy(F.col("m.node").alias("node")).agg(F.count("*").alias("n")).filter("n = 2").select("node")
             turn += 1
-            for some in (moves.filter(F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0), moves.join(best, "node", "left_semi")):
+            apart = moves.join(best, "node", "left_semi")
+            half = moves.filter(F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0)
+            for some in (half.unionByName(apart).distinct(), apart):
                 there = cut(at.join(some.select("node", "new"), "node", "left").select("node", F.coalesce("new", "community").alias("community")))
                 new_sums, new_value = _sums(both, own, there, worth)
                 if raised := new_value > value + _TINY:

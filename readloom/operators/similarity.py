@@ -91,15 +91,15 @@ def within_window(nodes: DataFrame, low: float, high: float) -> DataFrame:
     return nodes.filter((F.floor("avg_cov") > low) & (F.floor("avg_cov") < high))
 
 
-def coverage_window(nodes: DataFrame, members: DataFrame, low: float, high: float, most: float) -> tuple[float, float]:
+def coverage_window(nodes: DataFrame, members: DataFrame, low: float, high: float, most: float, total: int | None = None) -> tuple[float, float]:
     """Widen the upper bound by 1 until fewer than 2 % of the reads have no node inside, or ``most`` is reached.
 
-    ``members`` has pair_id and node. What is collected is one row for each integer coverage up to ``most``, which gives the
+    ``members`` has pair_id and node; ``total`` is the number of pairs, if not all of them are members of a node. What is collected is one row for each integer coverage up to ``most``, which gives the
     share at every bound at once: a pair is inside as soon as its lowest node above ``low`` is.
     """
     fit = nodes.filter(F.floor("avg_cov") > low).select("node", F.floor("avg_cov").alias("cov"))
     lowest = members.join(fit, "node").groupBy("pair_id").agg(F.min("cov").alias("cov"))
-    total = members.select("pair_id").distinct().count()
+    total = members.select("pair_id").distinct().count() if total is None else total
     counts = dict(lowest.filter(F.col("cov") < most).groupBy("cov").count().collect())
     while high < most and sum(n for c, n in counts.items() if c < high) <= 0.98 * total:
         high += 1

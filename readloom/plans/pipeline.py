@@ -12,10 +12,6 @@ from ..functions.sequence import canonical, explode_kmers, rotations
 from ..operators import community, consensus, correction, kmers, similarity
 from ..operators.iterate import cut
 
-#: A k-mer is used for comparing pairs if it occurs so often among the extracted reads: neither an error nor a repeat.
-FEWEST, MOST = 2, 12
-
-
 @dataclass(frozen=True)
 class Config:
     pattern: str = "A" * 15
@@ -36,13 +32,19 @@ def reads_of(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.explode(mates).alias("r")).select("pair_id", "r.mate", "r.seq")
 
 
-def candidates(reads: DataFrame, k: int, fewest: int = FEWEST, most: int = MOST) -> DataFrame:
-    """a, b (a < b) of pairs that share a canonical k-mer with ``fewest`` to ``most`` occurrences."""
-    placed = explode_kmers(reads.select("pair_id", "seq"), k).select("pair_id", canonical(F.col("kmer")).alias("node"))
-    # rows of a k-mer never exceed ``most`` after this: frequent ones lose their members before they meet
-    members = placed.groupBy("node", "pair_id").agg(F.count("*").alias("m"))
-    fit = members.groupBy("node").agg(F.sum("m").alias("n")).filter(F.col("n").between(fewest, most))
-    return similarity.candidate_pairs(members.join(fit, "node").select("node", "pair_id"))
+def candidates(reads: DataFrame, config: Config) -> DataFrame:
+    """a, b (a < b) of pairs that share a canonical k-mer whose coverage lies in the window of single-copy nodes: above
+    errors, below repeats, and widened until nearly all pairs have such a k-mer.
+
+    Only k-mers that any window can hold keep their members, so no k-mer gathers more pairs than the widest window allows.
+    """
+    low, high, most = similarity.first_window(config.read_length, config.k, config.coverage)
+    placed = explode_kmers(reads.select("pair_id", "seq"), config.k).select("pair_id", canonical(F.col("kmer")).alias("node"))
+    counts = placed.groupBy("node").agg(F.count("*").alias("avg_cov"))
+    nodes = cut(counts.filter((F.col("avg_cov") > low) & (F.col("avg_cov") < most)))
+    members = cut(placed.join(nodes.select("node"), "node", "left_semi").distinct())
+    low, high = similarity.coverage_window(nodes, members, low, high, most, reads.select("pair_id").distinct().count())
+    return similarity.candidate_pairs(members.join(similarity.within_window(nodes, low, high).select("node"), "node"))
 
 
 def clusters(pairs: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
@@ -91,7 +93,7 @@ def run(pairs: DataFrame, config: Config) -> DataFrame:
     seq1, seq2) once."""
     split = cut(kmers.low_complexity_split(pairs.select("pair_id", "seq1", "seq2"), rotations(config.pattern)))
     low = split.filter("low_complexity").drop("low_complexity")
-    edges = cut(similarity.similarities(candidates(reads_of(low), config.k), low, config.read_length))
+    edges = cut(similarity.similarities(candidates(reads_of(low), config), low, config.read_length))
     labels = cut(clusters(low, edges, config))
     labelled = reads_of(low).join(labels, "pair_id")
     corrected = correct(labelled.filter("cluster_id > 0"), config).select("pair_id", "mate", "seq", "cluster_id", "accepted")

@@ -604,32 +604,38 @@ def markov_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # similarity networks
 
-_CANDIDATES = f"""c AS (SELECT kmer FROM canon GROUP BY kmer HAVING count(*) BETWEEN {pipeline.FEWEST} AND {pipeline.MOST}), m AS (SELECT DISTINCT pair_id, kmer FROM canon JOIN c USING (kmer))"""
+#: Copies of documents make reads of up to some ten places; the window of this coverage holds k-mers seen 3 to 13 times.
+_PLAN = pipeline.Config(pattern=PATTERN, coverage=100.0)
+_WINDOW = similarity.first_window(_PLAN.read_length, _PLAN.k, _PLAN.coverage)
+_CANDIDATES = f"""n AS (SELECT kmer, count(*) AS cov FROM canon GROUP BY kmer HAVING count(*) > {_WINDOW[0]} AND count(*) < {_WINDOW[2]}),
+lowest AS (SELECT pair_id, min(cov) AS cov FROM canon JOIN n USING (kmer) GROUP BY pair_id),
+widths AS (SELECT {_WINDOW[1]} + unnest(range(0, {int(_WINDOW[2])})) AS high), enough AS (SELECT high FROM widths WHERE high >= {_WINDOW[2]} OR (SELECT count(*) FROM lowest WHERE cov < high) > 0.98 * (SELECT count(DISTINCT pair_id) FROM lowreads)),
+m AS (SELECT DISTINCT pair_id, kmer FROM canon JOIN n USING (kmer) WHERE cov < (SELECT min(high) FROM enough))"""
 
 
 @query(f"WITH {SQL}, {_LOW}, {_kmers(31, 'lowreads')}, {_CANDIDATES} SELECT DISTINCT x.pair_id AS a, y.pair_id AS b FROM m x JOIN m y ON x.kmer = y.kmer AND x.pair_id < y.pair_id")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.candidates(_low_reads(spark, sf_dir), 31)
+    return pipeline.candidates(_low_reads(spark, sf_dir), _PLAN)
 
 
 @query()
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = _low(spark, sf_dir)
-    return similarity.similarities(pipeline.candidates(pipeline.reads_of(low), 31), low, 100)
+    return similarity.similarities(pipeline.candidates(pipeline.reads_of(low), _PLAN), low, 100)
 
 
 @query()
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the low-complexity pairs by consensus over clustering runs."""
     low = _low(spark, sf_dir)
-    edges = similarity.similarities(pipeline.candidates(pipeline.reads_of(low), 31), low, 100)
-    return pipeline.clusters(low, edges, pipeline.Config())
+    edges = similarity.similarities(pipeline.candidates(pipeline.reads_of(low), _PLAN), low, 100)
+    return pipeline.clusters(low, edges, _PLAN)
 
 
 @query()
 def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline end to end: every read once, corrected where its cluster allows it."""
-    return pipeline.run(pairs(spark, sf_dir), pipeline.Config(pattern=PATTERN))
+    return pipeline.run(pairs(spark, sf_dir), _PLAN)
 
 
 # weighted graphs

@@ -183,10 +183,12 @@ def test_pipeline_keeps_every_read(spark):
             pair += 1
     rows += [(pair + k, "".join(rng.choices("CGT", k=90)), "".join(rng.choices("CGT", k=90))) for k in range(5)]
     frame = spark.createDataFrame(rows, "pair_id long, seq1 string, seq2 string")
-    # every k-mer is common here, so the window that tells repeats by counts must be wide
+    # thirty pairs of each place: at this coverage the window holds k-mers seen 16 to 49 times
+    config = pipeline.Config(pattern="AAAAAAAAA", coverage=250.0, k=21, read_length=90, runs=3)
     low = frame.filter("pair_id < 60")
-    assert pipeline.candidates(pipeline.reads_of(low), 21, 2, 1000).filter("a < 30 and b >= 30").count() == 0
-    found = pipeline.run(frame, pipeline.Config(pattern="AAAAAAAAA", runs=3)).collect()
+    linked = pipeline.candidates(pipeline.reads_of(low), config)
+    assert linked.count() > 100 and linked.filter("a < 30 and b >= 30").count() == 0
+    found = pipeline.run(frame, config).collect()
     assert sorted((r["pair_id"], r["mate"]) for r in found) == sorted((p, m) for p, *_ in rows for m in (1, 2))
     assert all(len(r["seq"]) == 90 for r in found)
 
