@@ -6,8 +6,9 @@ are linked, and classes are the connected components of the links.
 
 No step emits the pairs of a group. Equal texts collapse to one node first. A band's bucket is tied together by the
 pairs of its members with one central member, each checked on the texts. What such a star leaves apart, that is buckets
-which still hold several components, is compared block by block inside tasks, exactly, and a block returns only a
-spanning forest of its links. So the rows that move grow with the bucket, not with its square.
+which still hold several components, is compared block by block inside tasks, exactly: all nodes outside a bucket's largest
+component with all nodes of the bucket. A block returns only a spanning forest of its links. So the rows that move grow
+with the bucket, and with the product of both numbers over the size of a block.
 
 Defined cases: a null or blank text (no word) is linked to nothing and is a class of its own row; equal texts are one
 class even if their ids repeat; null ids keep their row, with the class of their text; ties in the choice of a centre or
@@ -89,7 +90,7 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
 
 
 def _block_links(rows: pa.Table) -> pa.Table:
-    """A spanning forest of the links between two blocks of a bucket (or inside one block)."""
+    """A spanning forest of the links between two blocks of a bucket; a node may stand in both."""
     rows = rows.sort_by("node")
     node, component, side = (rows.column(c).to_numpy() for c in ("node", "component", "side"))
     bags = _bags(rows.column("text").cast(pa.binary()).to_pylist())
@@ -113,8 +114,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
             common += (high - low) * (grid @ grid.T).astype(float)
         low = high
     near = np.triu(common / (sizes[:, None] + sizes[None, :] - common) >= SIMILARITY, 1) & (component[:, None] != component[None, :])
-    if (side == 1).any():
-        near &= side[:, None] != side[None, :]
+    near &= side[:, None] != side[None, :]
     pairs = np.argwhere(near)
     pairs = pairs[_forest(len(bags), pairs)]
     return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -168,13 +168,16 @@ def text_classes(docs: DataFrame) -> DataFrame:
     first = components(links)
     # buckets with more than one component, block against block
     placed = shared.join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    rest = cut(placed.join(open_.select("bucket", "n"), "bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    against = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).cast("int").alias("side")))
-    spread = rest.select("bucket", "node", "component", F.explode(against).alias("at")).select("bucket", "node", "component", "at.i", "at.j", "at.side")
-    spread = spread.join(text, "node").groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long")
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    # two nodes of different components are never both in the bucket's largest one, so the others meet all, and only they
+    open_ = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("component", F.struct("m", "component")).alias("major")).filter("n > most")
+    rest = cut(placed.join(open_.select("bucket", "n", (F.col("n") - F.col("most")).alias("others"), "major"), "bucket"))
+    block = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "others"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = rest.filter("component <> major").select("bucket", "node", "component", block(7, other_blocks).alias("i"), each(blocks).alias("j"), F.lit(0).alias("side"))
+    all_ = rest.select("bucket", "node", "component", each(other_blocks).alias("i"), block(9, blocks).alias("j"), F.lit(1).alias("side"))
+    spread = one.unionByName(all_).join(text, "node").groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long")
     more = cut(spread.distinct())
     return components(links.union(more))
 
