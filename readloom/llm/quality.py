@@ -50,15 +50,21 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def dictionary(found: list[bytes]) -> bytes:
-    """A dictionary trained on the pieces; where their distinct content fits into ``DICTIONARY`` bytes, or is too uniform
-    to train on, that content itself."""
-    distinct = b"".join(dict.fromkeys(found))
-    if len(distinct) <= DICTIONARY:
-        return distinct
-    try:
-        return zstandard.train_dictionary(DICTIONARY, found, k=PIECE, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return distinct[:DICTIONARY]
+    """A dictionary trained on the pieces, of ``DICTIONARY`` bytes or, where they are too few or too uniform for that, of the
+    largest half, quarter, ... that can be trained; where none can, the distinct pieces themselves, in the order of their
+    hashes, as many as fit whole."""
+    size = DICTIONARY
+    while found and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, found, k=min(PIECE, size // 2), d=8, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    kept, left = [], DICTIONARY
+    for piece in dict.fromkeys(part for whole in found for part in pieces(whole)):
+        if len(piece) <= left:
+            kept.append(piece)
+            left -= len(piece)
+    return b"".join(kept)
 
 
 class Compressor:
@@ -116,7 +122,7 @@ def differences(rows: DataFrame, model: Model, keys: str) -> DataFrame:
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and difference of every row of ``docs``."""
-    own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     found = differences(own, model, "doc_id long, held_out boolean")
     mean, scale, beta = model.curve
     powers = (F.col("difference"), F.col("difference") * F.abs("difference"))

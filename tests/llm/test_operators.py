@@ -93,6 +93,16 @@ def test_dictionaries_learn_whole_texts(spark):
     assert quality.dictionary([b"a" * 200_000]) and quality.dictionary([]) == b""
 
 
+def test_dictionaries_are_trained_at_every_size(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "kappa"], k=60)).encode() for _ in range(60)]
+    assert quality.dictionary(texts)[:4] == b"\x37\xa4\x30\xec"  # the magic number of a trained dictionary
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id int, text string")  # ids of another integer type
+    labels = labels_of(spark, [(k, k % 2, 0) for k in range(60)])
+    found = quality.score_documents(docs, quality.fit(docs, labels))
+    assert found.count() == 60 and dict(found.dtypes)["doc_id"] == "bigint"
+
+
 def test_score_is_the_calibrated_difference(spark, documents, sf_dir):
     """The same dictionaries and curve in a plain loop over whole texts give every row's score."""
     import math
