@@ -2,14 +2,15 @@
 
 Formats whose records stand for themselves (FASTA by its header sign, SAM, raw) are split by Spark's text source, so a
 file is read by many tasks. A FASTQ record is four lines, and only its place in the file tells a header from a line of
-qualities: lines are numbered by the sizes of the partitions before them, without moving the text to one place.
+qualities: lines are numbered inside the block of a file that they were read from, and get what the blocks before it
+hold, a count a block, so every file of a folder is framed on its own however it is split.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import wrapped
@@ -40,31 +41,51 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return {"fasta": read_fasta, "fastq": read_fastq, "sam": read_sam, "raw": read_raw}[format_of(path)](spark, path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0), value. The text source keeps the order of lines inside a partition and of partitions inside a file;
-    the number of a line is its place in its partition plus the sizes of those before it."""
-    lines = spark.read.text(path)
-    schema = "line long, value string"
-    return lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["value"])).toDF(schema)
+def numbered_parts(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """file, line (from 0 in its file), place (from 0 over all files, in the order of their paths), value: the lines below a
+    path, or what stands between separators."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    text = reader.text(path)
+    source = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    order = Window.partitionBy("file", "block").orderBy("at")
+    parts = text.select("value", *source, F.monotonically_increasing_id().alias("at"))  # rises inside a block
+    parts = parts.withColumn("nth", F.row_number().over(order) - 1).drop("at")
+    blocks = text.select(*source).groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("lines"))
+    files = files.select(F.col("file").alias("of"), (F.sum("lines").over(Window.orderBy("file")) - F.col("lines")).alias("first"))  # a row a file
+    begins = blocks.join(files, F.col("file") == F.col("of")).select("file", "block", "before", "first")
+    found = parts.join(begins, ["file", "block"]).withColumn("line", F.col("before") + F.col("nth"))
+    return found.select("file", "line", (F.col("first") + F.col("line")).alias("place"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """idx, id, seq; lines before the first header belong to no record."""
-    parts = spark.read.option("lineSep", "\n>").text(path)
-    rows = parts.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["value"])).toDF("idx long, value string")
-    # only the first part still has its sign, or is what stands before the first header
-    rows = rows.filter("idx > 0 or startswith(value, '>')").withColumn("value", F.regexp_replace("value", "^>", ""))
+    """idx, id, seq; lines before a file's first header belong to no record."""
+    # only a file's first part still has its sign, or is what stands before the first header
+    rows = numbered_parts(spark, path, "\n>").filter("line > 0 or startswith(value, '>')").withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.split("value", "\r?\n", 2)
-    return rows.select("idx", head[0].alias("id"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
+    return rows.select(F.col("place").alias("idx"), head[0].alias("id"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """idx, id, seq, qual; a record whose first line has no @ is an error, as is a last one that is cut short."""
-    lines = numbered_lines(spark, path).select(F.expr("line div 4").alias("idx"), (F.col("line") % 4).alias("at"), F.rtrim("value").alias("value"))
-    record = lines.groupBy("idx").agg(*[F.max(F.when(F.col("at") == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
+def _over_files(rows: DataFrame, nth: str, name: str) -> DataFrame:
+    """``rows`` (file and ``nth``, a number inside the file) with ``name``: a number over all files, in the order of paths."""
+    files = rows.groupBy("file").agg(F.count("*").alias("n"))
+    files = files.select(F.col("file").alias("of"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("first"))  # a row a file
+    return rows.join(files, F.col("file") == F.col("of")).withColumn(name, F.col("first") + F.col(nth))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record (from 0 in its file), idx, id, seq, qual."""
+    lines = numbered_parts(spark, path).select("file", F.expr("line div 4").alias("record"), (F.col("line") % 4).alias("at"), F.rtrim("value").alias("value"))
+    record = lines.groupBy("file", "record").agg(*[F.max(F.when(F.col("at") == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
     record = record.filter(~((F.col("head") == "") & F.col("seq").isNull()))
     head = F.when(F.startswith("head", F.lit("@")), F.expr("substring(head, 2)")).otherwise(F.raise_error(F.concat(F.lit("no FASTQ header: "), F.col("head"))))
-    return record.select("idx", head.alias("id"), F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"))
+    return _over_files(record, "record", "idx").select("file", "record", "idx", head.alias("id"), F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"))
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """idx, id, seq, qual; a record whose first line has no @ is an error, as is a last one that is cut short."""
+    return _records(spark, path).select("idx", "id", "seq", "qual")
 
 
 _SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -73,7 +94,7 @@ _SAM_INTS = ("flag", "pos", "mapq", "pnext", "tlen")
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """idx, id, seq and the other fields of alignment lines; sequences are taken as they stand, whatever their strand."""
-    lines = numbered_lines(spark, path).filter("not startswith(value, '@') and trim(value) <> ''")
+    lines = numbered_parts(spark, path).withColumnRenamed("line", "in_file").withColumnRenamed("place", "line").filter("not startswith(value, '@') and trim(value) <> ''")
     field = F.split("value", "\t")
     fields = [F.get(field, F.lit(k)).cast("int" if c in _SAM_INTS else "string").alias(c) for k, c in enumerate(_SAM)]
     return lines.select(F.col("line").alias("idx"), F.get(field, F.lit(0)).alias("id"), *fields[1:], F.slice(field, 12, 1 << 20).alias("tags"))
@@ -81,16 +102,17 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """idx, id (the place again), seq: one sequence a line."""
-    lines = numbered_lines(spark, path).filter("trim(value) <> ''")
+    lines = numbered_parts(spark, path).withColumnRenamed("line", "in_file").withColumnRenamed("place", "line").filter("trim(value) <> ''")
     return lines.select(F.col("line").alias("idx"), F.col("line").cast("string").alias("id"), F.rtrim("value").alias("seq"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """pair_id (from 1), id, seq1, qual1, seq2, qual2 of an interleaved FASTQ file; mates have one id, else it is an error.
-    A last read without a mate is left out."""
-    reads = read_fastq(spark, path)
-    mate = lambda k: F.max(F.when(F.col("idx") % 2 == k, F.struct("id", "seq", "qual")))
-    both = reads.groupBy(F.expr("idx div 2 + 1").alias("pair_id")).agg(mate(0).alias("a"), mate(1).alias("b")).filter("b is not null")
+    A file's last read without a mate is left out; pairs are numbered over all files, in the order of their paths."""
+    reads = _records(spark, path)
+    mate = lambda k: F.max(F.when(F.col("record") % 2 == k, F.struct("id", "seq", "qual")))
+    both = reads.groupBy("file", F.expr("record div 2 + 1").alias("nth")).agg(mate(0).alias("a"), mate(1).alias("b")).filter("b is not null")
+    both = _over_files(both, "nth", "pair_id")
     same = F.when(F.col("a.id") == F.col("b.id"), F.col("a.id")).otherwise(F.raise_error(F.lit("mates with different ids")))
     return both.select("pair_id", same.alias("id"), F.upper("a.seq").alias("seq1"), F.col("a.qual").alias("qual1"), F.upper("b.seq").alias("seq2"), F.col("b.qual").alias("qual2"))
 
@@ -184,9 +206,9 @@ def parse_chain(line: str) -> dict[str, object]:
 
 def read_chains(spark: SparkSession, path: str) -> DataFrame:
     """idx, id and the alignment columns of a file of two lines for each read."""
-    lines = numbered_lines(spark, path).select(F.expr("line div 2").alias("idx"), (F.col("line") % 2).alias("at"), "value")
-    both = lines.groupBy("idx").agg(F.max(F.when(F.col("at") == 0, F.col("value"))).alias("id"), F.max(F.when(F.col("at") == 1, F.col("value"))).alias("tags"))
-    return both.select("idx", "id", *[c.alias(k) for k, c in parse_chain("tags").items()])
+    lines = numbered_parts(spark, path).select("file", F.expr("line div 2").alias("record"), (F.col("line") % 2).alias("at"), "value")
+    both = lines.groupBy("file", "record").agg(F.max(F.when(F.col("at") == 0, F.col("value"))).alias("id"), F.max(F.when(F.col("at") == 1, F.col("value"))).alias("tags"))
+    return _over_files(both, "record", "idx").select("idx", "id", *[c.alias(k) for k, c in parse_chain("tags").items()])
 
 
 def write_graph(nodes: DataFrame, arcs: DataFrame, path: str) -> None:

@@ -109,6 +109,33 @@ FASTQ = "@r1\nACGT\n+\nIIII\n@r1\nacgg\n+\n@#I#\n@r2\nAC\n+\nII\n"
 SAM = "@HD\tVN:1\nq1\t0\tchr\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:0\tXX:Z:a\nq2\t16\tchr\t9\t60\t3M\t*\t0\t0\tGGT\tIII\n"
 
 
+def test_folders_of_split_files_give_every_record_once(spark, tmp_path):
+    rng = random.Random(1)
+    folder, expected, raw = tmp_path / "reads.fastq", [], []
+    folder.mkdir()
+    for f in range(4):
+        # qualities may begin with the sign of a header; files end with a read that has no mate
+        records = [(f"f{f}r{i // 2}", "".join(rng.choices("ACGT", k=rng.randint(1, 40))), "@" + "".join(rng.choices("@+#I", k=9))) for i in range(2 * (30 + f) + 1)]
+        (folder / f"{f}.fastq").write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in records))
+        expected += records
+    (tmp_path / "fa.fasta").mkdir()
+    for f in range(3):
+        (tmp_path / "fa.fasta" / f"{f}.fasta").write_text("junk\n" * f + "".join(f">{f}-{i}\n{'ACGT' * 5}\n{'TT' * i}\n" for i in range(20)))
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+        assert formats.numbered_parts(spark, str(folder)).select("file").count() == 4 * len(expected)
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        found = formats.read_fastq(spark, str(folder)).orderBy("idx").collect()
+        pairs = formats.read_pairs(spark, str(folder)).orderBy("pair_id").collect()
+        fasta = formats.read_fasta(spark, str(tmp_path / "fa.fasta")).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    assert [(r["id"], r["seq"], r["qual"]) for r in found] == expected and [r["idx"] for r in found] == list(range(len(expected)))
+    assert [r["pair_id"] for r in pairs] == list(range(1, 127)) and [r["id"] for r in pairs] == [f"f{f}r{i}" for f in range(4) for i in range(30 + f)]
+    assert [(r["id"], len(r["seq"])) for r in fasta] == [(f"{f}-{i}", 20 + 2 * i) for f in range(3) for i in range(20)]
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_readers(spark, tmp_path, zipped):
     def put(name, text):
