@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..operators import chains, community, consensus, graph, graph_alignment, kmers, paths, similarity
+from ..operators import chains, community, consensus, graph, graph_alignment, kmers, matches, paths, similarity
 from ..operators.iterate import cut
 from . import pipeline
 from .reads import BASES, LETTERS, SQL, dna, pairs, reads
@@ -473,6 +473,35 @@ def break_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.annotated_breaks(references, nodes, arcs, GRAPH_K, "item_id").select("item_id", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "kind", "distance")
 
 
+# exact matches of the references of the benchmark with the nodes of the low-complexity reads
+
+_LEAST = 11
+_MATCHES = f"""{_NODES},
+refs AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS ref FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+here AS (SELECT item_id, CAST(p AS INTEGER) AS pos, substr(ref, CAST(p + 1 AS BIGINT), {_LEAST}) AS word FROM (SELECT item_id, ref, unnest(range(0, length(ref) - {_LEAST - 1})) AS p FROM refs)),
+there AS (SELECT seq, strand, n, CAST(p AS INTEGER) AS node_pos, substr(s, CAST(p + 1 AS BIGINT), {_LEAST}) AS word FROM (SELECT seq, strand, n, s, unnest(range(0, length(s) - {_LEAST - 1})) AS p
+    FROM (SELECT seq, 1 AS strand, n, seq AS s FROM nodes UNION ALL SELECT seq, -1, n, {_RC.format('seq')} FROM nodes))),
+met AS (SELECT item_id, seq, strand, n, node_pos, pos, pos - row_number() OVER (PARTITION BY item_id, seq, strand, node_pos - pos ORDER BY pos) AS run FROM here JOIN there USING (word)),
+found AS (SELECT item_id, seq, strand, n, min(node_pos) AS nf, min(pos) AS rf, count(*) + {_LEAST - 1} AS len FROM met GROUP BY item_id, seq, strand, n, node_pos - pos, run),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY len DESC) AS nth FROM found),
+asked AS (SELECT item_id, greatest({_LEAST}, least({GRAPH_K - 1}, coalesce(max(len) FILTER (nth = 100), {_LEAST}))) AS asked FROM ranked GROUP BY item_id),
+fit AS (SELECT f.* FROM found f JOIN asked USING (item_id) JOIN refs USING (item_id) WHERE len >= asked AND nf < n AND rf < length(ref) - {GRAPH_K - 1}),
+parted AS (SELECT *, CASE WHEN nf - rf = lag(nf - rf) OVER w THEN 0 ELSE 1 END AS new FROM fit WINDOW w AS (PARTITION BY item_id, seq, strand ORDER BY nf, rf)),
+seeded AS (SELECT *, sum(new) OVER (PARTITION BY item_id, seq, strand ORDER BY nf, rf) AS seed FROM parted),
+merged AS (SELECT item_id, seq, strand, min(nf) AS node_first, min(rf) AS first, arg_max(rf + len, nf) AS stop FROM seeded GROUP BY item_id, seq, strand, seed)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MATCHES}, top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY stop - first DESC, first, node_first, seq, strand DESC) AS rank FROM merged)
+    SELECT item_id, seq AS node, CAST(strand AS INTEGER) AS strand, node_first, first, CAST(stop - least({GRAPH_K - 1}, stop - first - 1) AS INTEGER) AS stop, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10"""
+)
+def exact_match_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten longest seeds of each reference, from matches whose least length shrinks until there are a hundred."""
+    references = dna(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("doc_id", "item_id")
+    found = matches.exact_seeds(references, _graph(spark, sf_dir)[0], GRAPH_K, "item_id", least=_LEAST)
+    return found.select("item_id", F.col("node_seq").alias("node"), F.signum("node").cast("int").alias("strand"), "node_first", "first", F.col("end").cast("int").alias("stop"), "rank")
+
+
 # the ends of reads, aligned to the paths that go on from their longest run in the graph of k-mers seen twice; the SQL goes
 # letter by letter over k-mers, the query node by node
 
