@@ -120,3 +120,38 @@ def propagated(decisions: DataFrame) -> DataFrame:
     keyed = decisions.select("order", "context").distinct().filter("order > 1").withColumn("end", F.explode(ends))
     gone = keyed.join(single.withColumnRenamed("context", "end"), "end", "left_semi").select("order", "context").distinct()
     return decisions.join(gone, ["order", "context"], "left_anti")
+
+
+def paired_counts(pairs: DataFrame) -> DataFrame:
+    """chain1, turned1, chain2, turned2, n: how often the chains of two mates (chain1, chain2) occur together, each as the
+    smaller of both directions and whether it was turned for that. Mates face each other, so the second is turned if it is
+    the smaller one already."""
+    own = [F.col(c) == canonical_chain(F.col(c)) for c in ("chain1", "chain2")]
+    named = pairs.select(canonical_chain(F.col("chain1")).alias("chain1"), (~own[0]).alias("turned1"), canonical_chain(F.col("chain2")).alias("chain2"), own[1].alias("turned2"))
+    return named.groupBy("chain1", "turned1", "chain2", "turned2").agg(F.count("*").alias("n"))
+
+
+def insert_sizes(positions: DataFrame, k: int) -> DataFrame:
+    """pair_id, node, size: for each node that k-mers of both mates lie in, the bases from the first to the last of them.
+    ``positions`` has pair_id, mate, node (signed), node_pos and node_n."""
+    kept = F.when(F.col("node") > 0, F.col("node_pos")).otherwise(F.col("node_n") - 1 - F.col("node_pos"))
+    both = positions.groupBy("pair_id", F.abs("node").alias("node")).agg(F.count_distinct("mate").alias("mates"), (F.max(kept) - F.min(kept) + k).alias("size"))
+    return both.filter("mates = 2").select("pair_id", "node", "size")
+
+
+def trimmed_moments(values: DataFrame, name: str) -> DataFrame:
+    """mean and deviation (rounded to integers) of what is left of a column of integers without its lowest and highest
+    quarter, and how many these are.
+
+    The quarters are cut from counts of values, a row for each distinct one, so no value is sorted.
+    """
+    counts = values.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("x")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("x"))  # a row for each distinct value
+    whole = counts.agg(F.sum("n").alias("all")).select("all", F.floor(F.col("all") / 4).alias("cut"))
+    placed = counts.withColumn("upto", upto).join(F.broadcast(whole))  # one row
+    left = F.greatest(F.lit(0), F.least("upto", F.col("all") - F.col("cut")) - F.greatest(F.col("upto") - F.col("n"), F.col("cut")))
+    kept = placed.withColumn("left", left)
+    mean = kept.agg(F.sum("left").alias("n"), F.round(F.sum(F.col("x") * F.col("left")) / F.nullif(F.sum("left"), F.lit(0))).alias("mean"))
+    off = kept.join(F.broadcast(mean.select("mean", F.col("n").alias("m"))))  # one row
+    spread = off.agg(F.round(F.sqrt(F.sum(F.col("left") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))) / F.nullif(F.max("m"), F.lit(0)))).alias("deviation"))
+    return mean.join(F.broadcast(spread)).select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("mean").cast("double").alias("mean"), F.col("deviation").cast("double").alias("deviation"))

@@ -571,6 +571,33 @@ def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.counted(_chains(spark, sf_dir)).select(F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain"), "n")
 
 
+@query(
+    f"""WITH {_CHAINS}, mates AS (SELECT a.chain AS c1, b.chain AS c2, least(a.chain, {_TURN.format('a.chain')}) AS k1, least(b.chain, {_TURN.format('b.chain')}) AS k2 FROM chains a JOIN chains b ON b.id = a.id + 1 WHERE a.id % 2 = 1)
+    SELECT array_to_string(k1, ',') AS chain1, c1 <> k1 AS turned1, array_to_string(k2, ',') AS chain2, c2 = k2 AS turned2, count(*) AS n FROM mates GROUP BY k1, c1 <> k1, k2, c2 = k2"""
+)
+def paired_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of two orders in a row as the chains of two mates."""
+    every = _chains(spark, sf_dir)
+    second = every.select((F.col("id") - 1).alias("id"), F.col("chain").alias("chain2"))
+    found = chains.paired_counts(every.filter("id % 2 = 1").withColumnRenamed("chain", "chain1").join(second, "id"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select(text("chain1"), "turned1", text("chain2"), "turned2", "n")
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, {_PLACES}, kept AS (SELECT pair_id, mate, node, CASE WHEN strand = 1 THEN node_pos ELSE length(node) - {GRAPH_K} - node_pos END AS p FROM positions),
+    sizes AS (SELECT max(p) - min(p) + {GRAPH_K} AS x FROM kept GROUP BY pair_id, node HAVING count(DISTINCT mate) = 2),
+    ranked AS (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM sizes), inner_half AS (SELECT x FROM ranked WHERE r > n // 4 AND r <= n - n // 4),
+    m AS (SELECT count(*) AS n, round(avg(x)) AS mean FROM inner_half)
+    SELECT n, mean, (SELECT round(sqrt(sum((x - mean) * (x - mean)) / max(n))) FROM inner_half, m) AS deviation FROM m"""
+)
+def insert_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the sizes of the pairs whose mates share a node, without the outer quarters."""
+    low = _low_reads(spark, sf_dir)
+    positions = graph.read_positions(low, graph.unitigs(low, GRAPH_K), GRAPH_K, "pair_id", "mate")
+    return chains.trimmed_moments(chains.insert_sizes(positions, GRAPH_K), "size")
+
+
 _SUBS = f"""ways AS (SELECT id, chain FROM chains UNION ALL SELECT id, {_TURN.format('chain')} FROM chains),
 tips AS (SELECT chain, unnest(range(2, len(chain) + 1)) AS e FROM ways),
 sub AS (SELECT chain, e, unnest(range(1, least(e, 16))) AS o FROM tips),

@@ -289,3 +289,26 @@ def test_louvain_by_joins_is_as_good_as_node_by_node(spark, knots, name):
 def test_communities_are_numbered_by_their_smallest_node(spark):
     part = spark.createDataFrame([(n, 100 - n // 3) for n in range(50)], "node long, community long").repartition(7)
     assert {r["node"]: r["community"] for r in community.renumbered(part).collect()} == {n: n // 3 for n in range(50)}
+
+
+def test_trimmed_moments_against_a_sorted_list(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 3, 4, 57, 200):
+        values = [rng.choice([rng.randint(90, 110), rng.randint(0, 500)]) for _ in range(n)]
+        found = chains.trimmed_moments(spark.createDataFrame([(v,) for v in [*values, None]], "size int"), "size").first()
+        half = sorted(values)[n // 4 : n - n // 4]
+        if not half:
+            assert tuple(found) == (0, None, None)
+            continue
+        mean = int(sum(half) / len(half) + 0.5)
+        assert tuple(found) == (len(half), mean, int((sum((v - mean) ** 2 for v in half) / len(half)) ** 0.5 + 0.5))
+
+
+def test_insert_sizes_and_paired_chains(spark):
+    # mates on both strands of node 7, which holds 30 k-mers, and a pair on different nodes
+    rows = [(1, 1, 7, 2, 30), (1, 1, 7, 3, 30), (1, 2, -7, 9, 30), (2, 1, 7, 0, 30), (2, 2, 8, 0, 5), (3, 1, -8, 4, 5), (3, 2, -8, 1, 5)]
+    found = chains.insert_sizes(spark.createDataFrame(rows, "pair_id long, mate int, node long, node_pos int, node_n long"), 11)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 20 - 2 + 11), (3, 8, 3 + 11)]
+    pairs = spark.createDataFrame([([1, 2], [3, 4]), ([-2, -1], [-4, -3]), ([-2, -1], [-4, -3]), ([5], [-5])], "chain1 array<int>, chain2 array<int>")
+    counted = {(tuple(r["chain1"]), r["turned1"], tuple(r["chain2"]), r["turned2"]): r["n"] for r in chains.paired_counts(pairs).collect()}
+    assert counted == {((-2, -1), True, (-4, -3), False): 1, ((-2, -1), False, (-4, -3), True): 2, ((-5,), True, (-5,), True): 1}
