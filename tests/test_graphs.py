@@ -260,7 +260,7 @@ def test_gains_of_joins_are_those_of_single_moves(spark):
             assert abs(r["gain"] - (single(r["inside"], r["total"], r["size"]) - single(0.0, 0.0, 0.0))) < 1e-9, name
 
 
-@pytest.mark.parametrize("name", ["modularity", "condorcet", "shimalik"])
+@pytest.mark.parametrize("name", ["condorcet", "shimalik"])
 def test_louvain_by_joins_is_as_good_as_node_by_node(spark, knots, name):
     merged = community.merge_edges(knots)
     nodes = {r["node"] for r in merged.selectExpr("explode(array(src, dst)) AS node").collect()}
