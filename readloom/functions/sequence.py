@@ -45,6 +45,12 @@ def rotations(pattern: str) -> list[str]:
     return sorted(turned | {t.translate(table)[::-1] for t in turned})
 
 
+def rotations_of(pattern: Column) -> Column:
+    """``rotations`` of a column of patterns, as an array; null for a null or empty pattern."""
+    turned = F.transform(F.sequence(F.lit(0), F.length(pattern) - 1), lambda i: F.concat(F.substring(pattern, i + 1, F.length(pattern)), F.left(pattern, i)))
+    return F.when(F.length(pattern) > 0, F.array_sort(F.array_distinct(F.concat(turned, F.transform(turned, reverse_complement)))))
+
+
 def contains_any(seq: Column, patterns: list[str]) -> Column:
     """Whether any of the patterns occurs; false for a null or too short sequence."""
     hit = F.lit(False)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Errors at counts 2 and 3, true k-mers at the coverage and at twice the coverage.
@@ -48,6 +48,13 @@ def log_geometric(x: Column, mean: Column) -> Column:
     return x * F.ln(mean / (mean + 1.0)) - F.ln(mean + 1.0)
 
 
+def with_coverage(bins: DataFrame, *group: str) -> DataFrame:
+    """``bins`` (group, cov, n_kmers) with coverage, the mean count of the k-mers that occur more than once, to two places."""
+    of_group = Window.partitionBy(*group)  # a row for each distinct count
+    repeated = F.when(F.col("cov") > 1, F.col("n_kmers"))
+    return bins.withColumn("coverage", F.round(F.sum(repeated * F.col("cov")).over(of_group) / F.sum(repeated).over(of_group), 2))
+
+
 def _array(*values: Column) -> Column:
     return F.array(*[v.cast("double") for v in values])
 

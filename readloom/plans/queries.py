@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from ..operators import chains, community, consensus, graph, graph_alignment, kmers, matches, paths, similarity
+from ..operators import chains, community, consensus, flow, graph, graph_alignment, kmers, matches, paths, similarity, spectrum
 from ..operators.iterate import cut
 from . import pipeline
 from .reads import BASES, LETTERS, SQL, dna, pairs, reads
@@ -112,9 +112,14 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # low-complexity extraction
 
 
-@query("SELECT unnest([" + ", ".join(f"'{p}'" for p in sorted({a[i:] + a[:i] for a in ("AAC", "GTT") for i in range(3)})) + "]) AS pattern")
+@query(
+    f"""WITH {SQL}, p AS (SELECT DISTINCT left(seq, 7) AS pattern FROM reads), turned AS (SELECT pattern, list_transform(range(0, 7), lambda i: substr(pattern, i + 1, 7) || left(pattern, i)) AS t FROM p)
+    SELECT pattern, unnest(list_distinct(list_concat(t, list_transform(t, lambda x: {_RC.format('x')})))) AS rotation FROM turned"""
+)
 def pattern_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in sequence.rotations("AAC")], "pattern string")
+    """All rotations, on both strands, of the patterns that reads begin with."""
+    starts = reads(spark, sf_dir).select(F.left("seq", F.lit(7)).alias("pattern")).distinct()
+    return starts.select("pattern", F.explode(sequence.rotations_of(F.col("pattern"))).alias("rotation"))
 
 
 @query(f"WITH {SQL}, {_LOW} SELECT p.pair_id, p.seq1, p.seq2, l.pair_id IS NOT NULL AS low_complexity FROM pairs p LEFT JOIN low l USING (pair_id)")
@@ -189,9 +194,76 @@ def cluster_k_and_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.cluster_statistics(kmers.count_kmers(grouped, K, "source"), "source")
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, round(exp(k * ln(10.0) - 10.0 - lgamma(k + 1)), 12) AS p FROM range(0, 60) t(k)")
+_SOURCE_COUNTS = f"""grouped AS (SELECT d.source, r.seq FROM reads r JOIN (SELECT doc_id, source FROM documents) d ON r.pair_id // 1048576 = d.doc_id),
+    kmers AS (SELECT source, {_canonical('kmer')} AS kmer FROM (SELECT source, unnest(list_transform(range(1, length(seq) - {K} + 2), lambda i: substr(seq, i, {K}))) AS kmer FROM grouped)),
+    hist AS (SELECT source, n AS cov, count(*) AS n_kmers FROM (SELECT source, kmer, count(*) AS n FROM kmers GROUP BY source, kmer) GROUP BY source, n)"""
+
+
+def _log_density(x: str, mean: str, variance: str) -> str:
+    r = f"({mean} * {mean} / ({variance} - {mean}))"
+    return f"(lgamma({x} + {r}) - lgamma({x} + 1) - lgamma({r}) + {r} * ln({mean} / {variance}) + {x} * ln(({variance} - {mean}) / {variance}))"
+
+
+def _mixture(histogram: str, group: str) -> str:
+    """Fifty rounds over ``histogram`` (group, cov, n_kmers) from the mean of the counts above 1, and a row ``fitted`` a group."""
+    columns = ", ".join(f"any_value(mean) FILTER (j = {j}) AS mean{j}, any_value(variance) FILTER (j = {j}) AS variance{j}, any_value(mass) FILTER (j = {j}) AS mass{j}" for j in range(spectrum.PARTS))
+    return f"""cover AS (SELECT {group}, round(sum(cov * n_kmers) FILTER (cov > 1) / sum(n_kmers) FILTER (cov > 1), 2) AS c FROM {histogram} GROUP BY ALL),
+    used AS (SELECT {group}, CAST(cov AS DOUBLE) AS x, CAST(n_kmers AS DOUBLE) AS y FROM {histogram} JOIN cover USING ({group}) WHERE cov <= 3 * c),
+    rounds AS (SELECT {group}, 0 AS i, j, CAST(m AS DOUBLE) AS mean, CAST(1.1 * m AS DOUBLE) AS variance, CAST(1 AS DOUBLE) AS mass FROM (SELECT {group}, unnest([0, 1, 2, 3]) AS j, unnest([2.0, 3.0, c, 2 * c]) AS m FROM cover WHERE c > 0)
+        UNION ALL SELECT {group}, i + 1, j, greatest(sx / greatest(sn, 1e-12), 1e-3), greatest(sxx / greatest(sn, 1e-12) - pow(greatest(sx / greatest(sn, 1e-12), 1e-3), 2), greatest(sx / greatest(sn, 1e-12), 1e-3) + 1e-3), greatest(sn, 1e-12)
+        FROM (SELECT {group}, i, j, sum(w * y) AS sn, sum(w * x * y) AS sx, sum(w * x * x * y) AS sxx FROM (SELECT *, e / sum(e) OVER (PARTITION BY {group}, x) AS w FROM (
+            SELECT *, exp(l - max(l) OVER (PARTITION BY {group}, x)) AS e FROM (SELECT {group}, i, j, x, y, ln(mass) + {_log_density('x', 'mean', 'variance')} AS l FROM rounds JOIN used USING ({group}) WHERE i < 50))) GROUP BY {group}, i, j)),
+    fitted AS (SELECT {group}, c, {columns} FROM rounds JOIN cover USING ({group}) WHERE i = 50 GROUP BY {group}, c)"""
+
+
+def _part(x: str, j: int, times: str = "1") -> str:
+    return f"(ln(mass{j}) + {_log_density(x, f'({times} * mean{j})', f'({times} * variance{j})')})"
+
+
+def _odds(x: str) -> str:
+    return f"((exp({_part(x, 0)}) + exp({_part(x, 1)})) / exp({_part(x, 2)}))"
+
+
+_CUTOFF = f"""tried AS (SELECT *, unnest(range(CAST(ceil(mean0) AS BIGINT), greatest(CAST(ceil(mean0) AS BIGINT), CAST(ceil(mean2) AS BIGINT)) + 1)) AS k FROM fitted),
+    cutoffs AS (SELECT {{0}}, coalesce(min(k) FILTER (k < mean2 AND {_odds('k')} < 0.5), max(k)) AS cutoff FROM tried GROUP BY {{0}})"""
+
+
+def _source_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, cov, n_kmers and coverage, the mean count of the k-mers that occur more than once."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    grouped = reads(spark, sf_dir).withColumn("doc_id", F.expr("pair_id div 1048576")).join(source, "doc_id")
+    bins = kmers.count_kmers(grouped, K, "source").groupBy("source", F.col("n").alias("cov")).agg(F.count("*").alias("n_kmers"))
+    return spectrum.with_coverage(bins, "source")
+
+
+@query(
+    f"""WITH RECURSIVE {SQL}, {_SOURCE_COUNTS}, {_mixture('hist', 'source')}, {_CUTOFF.format('source')}
+    SELECT source, c AS coverage, {', '.join(f'round(mean{j}, 3) AS mean{j}, round(variance{j}, 3) AS variance{j}, round(mass{j}, 3) AS mass{j}' for j in range(spectrum.PARTS))}, CAST(cutoff AS INTEGER) AS cutoff,
+    round(1.2 * exp({_part('mean2', 2)}), 3) AS y_max FROM fitted JOIN cutoffs USING (source)"""
+)
+def spectrum_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture, cutoff and height of the plot of each source's spectrum; sources stand for clusters."""
+    found = spectrum.summary(spectrum.fit(_source_spectrum(spark, sf_dir), "source"))
+    parts = [F.round(F.get(c, F.lit(j)), 3).alias(f"{c}{j}") for j in range(spectrum.PARTS) for c in ("mean", "variance", "mass")]
+    return found.select("source", "coverage", *parts, "cutoff", F.round("y_max", 3).alias("y_max"))
+
+
+@query(
+    f"""WITH RECURSIVE {SQL}, {_SOURCE_COUNTS}, {_mixture('hist', 'source')}
+    SELECT source, cov, n_kmers, round({' + '.join(f"exp({_part('cov', j)})" for j in range(spectrum.PARTS))}, 3) AS fit, round({_odds('cov')}, 6) AS odds FROM hist JOIN fitted USING (source) WHERE cov <= 3 * c"""
+)
+def spectrum_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture expects at each count of a source up to three times its coverage, and the odds of errors there."""
+    bins = cut(_source_spectrum(spark, sf_dir))
+    found = spectrum.evaluated(bins.filter("cov <= 3 * coverage"), spectrum.fit(bins, "source"), "source")
+    return found.withColumns({"fit": F.round("fit", 3), "odds": F.round("odds", 6)})
+
+
+@query(f"WITH {SQL}, {_kmers(K)}, c AS (SELECT kmer, count(*) AS k FROM canon GROUP BY kmer) SELECT k, round(exp(k * ln(10.0) - 10.0 - lgamma(k + 1)), 12) AS p, count(*) AS n_kmers FROM c GROUP BY k")
 def poisson_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(60).select(F.col("id").cast("int").alias("k"), F.round(graph.poisson_pdf(F.col("id"), 10.0), 12).alias("p"))
+    """How likely the counts of the k-mers of all reads are if ten are expected."""
+    bins = kmers.count_kmers(reads(spark, sf_dir), K).groupBy(F.col("n").alias("k")).agg(F.count("*").alias("n_kmers"))
+    return bins.select("k", F.round(graph.poisson_pdf(F.col("k"), 10.0), 12).alias("p"), "n_kmers")
 
 
 @query(
@@ -353,6 +425,49 @@ def clipped_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clip_tips(*_graph(spark, sf_dir), 1.0, GRAPH_K + 1)[0].select("seq", "kmer_cov")
 
 
+_FITTED_GRAPH = f"""{_NODES}, hist AS (SELECT 1 AS one, n AS cov, count(*) AS n_kmers FROM counts GROUP BY n), {_mixture('hist', 'one')}, {_CUTOFF.format('one')},
+model AS (SELECT fitted.*, cutoff, avg_cov FROM fitted JOIN cutoffs USING (one), (SELECT CAST(sum(kmer_cov) AS DOUBLE) / sum(n) AS avg_cov FROM sided WHERE avg > 2 AND length(seq) + 1 > 31))"""
+_MULTIPLICITY = "CASE WHEN {0} < cutoff THEN 0 ELSE greatest(1, round({0} / avg_cov)) END"
+
+
+def _observed(x: str, m: str) -> str:
+    return f"CASE WHEN {m} = 0 THEN {_part(x, 0)} + {_part(x, 1)} WHEN {m} = 1 THEN {_part(x, 2)} WHEN {m} = 2 THEN {_part(x, 3)} ELSE {_part(x, 2, m)} END"
+
+
+@query(
+    f"""WITH RECURSIVE {_FITTED_GRAPH},
+    judged AS (SELECT a.*, {_MULTIPLICITY.format('cov')} AS m FROM node_arcs a, model),
+    sums AS (SELECT src, src_strand, count(*) AS ways, sum(greatest(m, 1)) AS s, count(*) FILTER (m = 0) AS weak, sum(CASE WHEN m = 0 THEN {_observed('cov', '0')} - ({_observed('cov', '1')}) ELSE 0 END) AS g FROM judged, model GROUP BY src, src_strand),
+    open AS (SELECT src, src_strand, g, s, floor(avg) AS x, {_MULTIPLICITY.format('avg')} AS nm FROM sums JOIN sided ON src = seq, model WHERE ways > 1 AND weak > 0),
+    gains AS (SELECT src, src_strand, g + {_observed('x', 'nm')} - ({_observed('x', 's')}) AS gain FROM open, model WHERE nm > 0)
+    SELECT src, src_strand, dst, dst_strand, round(gain, 4) AS gain FROM judged JOIN gains USING (src, src_strand) WHERE m = 0 AND gain >= 5"""
+)
+def unlikely_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs that the fitted spectrum of the low-complexity reads speaks against."""
+    low = _low_reads(spark, sf_dir)
+    nodes, arcs = graph.build(low, GRAPH_K)
+    bins = kmers.count_kmers(low, GRAPH_K).groupBy(F.lit(1).alias("one"), F.col("n").alias("cov")).agg(F.count("*").alias("n_kmers"))
+    fit = spectrum.summary(spectrum.fit(spectrum.with_coverage(bins, "one"), "one")).join(graph.node_average(nodes))  # one row each
+    found = _arcs_by_sequence(nodes, flow.unlikely_arcs(nodes, arcs, cut(fit.select("mean", "variance", "mass", "cutoff", "avg_cov"))))
+    return found.select("src", "src_strand", "dst", "dst_strand", F.round("gain", 4).alias("gain"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, a AS (SELECT CAST(sum(kmer_cov) AS DOUBLE) / sum(n) AS a FROM sided WHERE avg > 2 AND length(seq) + 1 > 31),
+    counted AS (SELECT seq, n, avg, CASE WHEN avg < 2 THEN 0 ELSE greatest(1, round(avg / a)) END AS m FROM sided, a),
+    known AS (SELECT seq, m, avg >= 2 AND n >= 8 AND m BETWEEN 1 AND 4 AS sure FROM counted),
+    ways AS (SELECT r.src, r.src_strand, r.dst, r.dst_strand, cov, s.m, s.m = d.m AND d.sure AS same, substr(CASE WHEN dst_strand = 1 THEN dst ELSE {_RC.format('dst')} END, {GRAPH_K}, 1) AS letter FROM node_arcs r JOIN known s ON r.src = s.seq AND s.sure JOIN known d ON r.dst = d.seq),
+    kept AS (SELECT src, src_strand, min(letter) FILTER (same) AS trusted FROM ways GROUP BY src, src_strand, m HAVING count(*) > 1 AND count(*) >= m)
+    SELECT src, src_strand, dst, dst_strand FROM ways JOIN kept USING (src, src_strand) WHERE letter <> trusted AND cov < 2 QUALIFY row_number() OVER (PARTITION BY src, src_strand ORDER BY letter) = 1"""
+)
+def chimeric_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak ways out of nodes that another way leads on from to a node which occurs as often."""
+    nodes, arcs = _graph(spark, sf_dir)
+    counted = nodes.join(F.broadcast(graph.node_average(nodes)))  # one row
+    known = counted.withColumn("multiplicity", graph.expected_multiplicity(F.col("avg_cov"), graph.average_coverage(), F.lit(2.0)))
+    return _arcs_by_sequence(nodes, flow.chimeric_links(known, arcs, 2.0, 8, GRAPH_K)).select("src", "src_strand", "dst", "dst_strand")
+
+
 @query()
 def cleaned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes after the whole cleaning schedule."""
