@@ -6,14 +6,20 @@ of their sequence. Joining along unique links is the same operation for k-mers a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.alignment import banded_scores
 from ..functions.sequence import canonical, explode_kmers, reverse_complement
 from .iterate import cut
 
+#: Gaps allowed between a tip and what is beside it.
+TIP_BAND = 2
+
 
 def arcs(reads: DataFrame, k: int) -> DataFrame:
     """src, dst, cov: k-mers that follow each other in a read, on both strands."""
@@ -204,27 +210,73 @@ def drop_nodes(nodes: DataFrame, arc: DataFrame, gone: DataFrame) -> tuple[DataF
     return nodes.join(key, "id", "left_anti").select(*nodes.columns), left.select("src", "dst", "cov")
 
 
+def _measured(nodes: DataFrame, arc: DataFrame) -> DataFrame:
+    return cut(sides(nodes.select("id", "n", "kmer_cov"), arc).withColumn("avg", average_coverage()))
+
+
+def certain_tips(low: DataFrame, arc: DataFrame) -> DataFrame:
+    """id of the nodes of ``low`` (id, n_left, n_right) that go whatever is beside them: loops and the first of two nodes in a
+    cycle, with one way in and one out; dead ends that are isolated or have two ways or more at their other end."""
+    through = low.filter("n_right = 1 and n_left = 1")
+    cycles = two_cycles(arc).select(F.abs("src").alias("id")).distinct()
+    free = dead_ends(low).filter("n_right + n_left <> 1").select("id")
+    return self_loops(through, arc).select("id").union(through.join(cycles, "id", "left_semi").select("id")).union(free).distinct()
+
+
 def tips(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> DataFrame:
-    """id of the low (covered up to ``cutoff``), short (up to ``longest`` k-mers) nodes that one pass takes away.
+    """id of the low (covered up to ``cutoff``), short (up to ``longest`` k-mers) nodes that one pass takes away: those of
+    ``certain_tips``, and dead ends that lead to a node that a better covered one leads to as well.
 
-    These are loops and the first of two nodes in a cycle, with one way in and one out; dead ends that are isolated, or
-    have two ways or more at their other end, or lead to a node that a better covered one leads to as well. Every pass
-    sees the graph as it was before the pass, so of two tips at one place the better covered one stays, and of equal ones all.
+    Every pass sees the graph as it was before the pass, so of two tips at one place the better covered one stays, and of
+    equal ones all.
     """
-    sided = cut(sides(nodes.select("id", "n", "kmer_cov"), arc).withColumn("avg", average_coverage()))
+    sided = _measured(nodes, arc)
     low = sided.filter((F.col("avg") <= cutoff) & (F.col("n") <= longest))
-    through = low.filter("n_right = 1 and n_left = 1")
-    cycles = two_cycles(arc).select(F.abs("src").alias("id")).distinct()
-    ends = dead_ends(low)
-    free = ends.filter("n_right + n_left <> 1").select("id")
-    one = ends.filter("n_right + n_left = 1").select("id", "avg")
+    one = dead_ends(low).filter("n_right + n_left = 1").select("id", "avg")
     into = arc.withColumn("id", F.abs("src")).join(one, "id").select("id", "dst", "avg")
     rival = arc.withColumn("other", F.abs("src")).join(sided.select(F.col("id").alias("other"), F.col("avg").alias("rival_avg")), "other").select("dst", "other", "rival_avg")
     # the best of what leads to a place decides for all tips there
     best = rival.join(into.select("dst").distinct(), "dst", "left_semi").groupBy("dst").agg(F.max("rival_avg").alias("best"))
     beaten = into.join(best, "dst").filter("avg < best").select("id")
-    loops = self_loops(through, arc).select("id")
-    return cut(loops.union(through.join(cycles, "id", "left_semi").select("id")).union(free).union(beaten).distinct())
+    return cut(certain_tips(low, arc).union(beaten).distinct())
+
+
+def _suffix_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            scores = banded_scores(part.column("a").to_pylist(), part.column("b").to_pylist(), TIP_BAND)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("dst", "tip", "other", "avg", "name")] + [pa.array(scores > 0)], ["dst", "tip", "other", "avg", "name", "alike"])
+
+
+def aligned_tips(nodes: DataFrame, arc: DataFrame, k: int, cutoff: float, longest: int) -> DataFrame:
+    """id of the low, short nodes that a sequential pass takes away: first those of ``certain_tips``, then, least covered
+    (and smallest sequence) first, each dead end with one way out whose letters are alike to those of another node
+    that still leads to the same place.
+
+    Of both the last letters are compared, as many as the shorter one has and without the k - 1 that they share; they are
+    alike if fewer than k are left or if an alignment with up to two gaps scores above 0. A tip has one place, so places
+    do not touch each other: each holds at most four nodes, and its tips are gone through in one row.
+    """
+    sided = _measured(nodes, arc)
+    certain = cut(certain_tips(sided.filter((F.col("avg") <= cutoff) & (F.col("n") <= longest)), arc))
+    kept, arcs_left = drop_nodes(nodes.select("id", "seq", "n", "kmer_cov"), arc, certain)
+    ways = cut(arcs_left)
+    low = sides(kept.withColumn("avg", average_coverage()), ways).filter((F.col("avg") <= cutoff) & (F.col("n") <= longest) & (F.col("n_right") + F.col("n_left") == 1))
+    oriented = lambda node: F.when(F.col(node) > 0, F.col("seq")).otherwise(reverse_complement(F.col("seq")))
+    into = ways.select("dst", F.col("src").alias("tip"), F.abs("src").alias("id")).join(low.select("id", "seq", "avg"), "id").select("dst", "tip", "avg", F.col("seq").alias("name"), oriented("tip").alias("x"))
+    others = ways.select("dst", F.col("src").alias("other"), F.abs("src").alias("id")).join(into.select("dst").distinct(), "dst", "left_semi").join(kept.select("id", "seq"), "id")
+    beside = into.join(others.select("dst", "other", oriented("other").alias("y")), "dst").filter("tip <> other")
+    m = F.least(F.length("x"), F.length("y"))
+    tail = lambda c: F.left(F.right(c, m), m - (k - 1))
+    texts = cut(beside.select("dst", "tip", "other", "avg", "name", tail(F.col("x")).alias("a"), tail(F.col("y")).alias("b")))
+    near = texts.filter(F.length("a") < k).select("dst", "tip", "other", "avg", "name", F.lit(True).alias("alike"))
+    scored = texts.filter(F.length("a") >= k).mapInArrow(_suffix_scores, "dst long, tip long, other long, avg double, name string, alike boolean")
+    rivals = near.unionByName(scored).filter("alike").groupBy("dst", "tip", "avg", "name").agg(F.collect_set("other").alias("others"))
+    place = rivals.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("avg", "name", "tip", "others"))).alias("tips"))
+    none = F.array().cast("array<long>")
+    gone = F.aggregate("tips", none, lambda out, t: F.when(F.size(F.array_except(t["others"], out)) > 0, F.concat(out, F.array(t["tip"]))).otherwise(out))
+    return cut(certain.union(place.select(F.explode(gone).alias("tip")).select(F.abs("tip").alias("id"))).distinct())
 
 
 def clip_tips(nodes: DataFrame, arc: DataFrame, cutoff: float, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -258,8 +310,8 @@ def clean(nodes: DataFrame, arc: DataFrame, k: int, cutoff: float, read_length:
         changed = True
         while changed:
             changed = False
-            for find in (tips, bubbles):
-                while (gone := cut(find(nodes, arc, level, longest))).limit(1).count():
+            for find in (partial(aligned_tips, k=k), bubbles):
+                while (gone := cut(find(nodes, arc, cutoff=level, longest=longest))).limit(1).count():
                     nodes, arc = concatenate(*drop_nodes(nodes, arc, gone), k)
                     changed = True
             nodes, arc, n = cut_parallel_paths(nodes, arc, k, level, longest)

@@ -425,6 +425,31 @@ def clipped_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clip_tips(*_graph(spark, sf_dir), 1.0, GRAPH_K + 1)[0].select("seq", "kmer_cov")
 
 
+_TIP_LONGEST = 60
+_BASE = "greatest(r[e] + CASE WHEN substr(a, i + 1, 1) = substr(b, i + e - 2, 1) THEN 1 ELSE -1 END, r[e + 1] - 3)"
+_ALIGNED = f"""{_CYCLES}, small AS (SELECT * FROM sided WHERE avg <= 2 AND n <= {_TIP_LONGEST}),
+certain AS (SELECT seq FROM small WHERE n_left = 1 AND n_right = 1 AND (seq IN (SELECT src FROM node_arcs WHERE src = dst AND src_strand = dst_strand) OR seq IN (SELECT src FROM cycles))
+    UNION SELECT seq FROM small WHERE least(n_left, n_right) = 0 AND n_left + n_right <> 1),
+ways AS (SELECT * FROM node_arcs WHERE src NOT IN (SELECT seq FROM certain) AND dst NOT IN (SELECT seq FROM certain)),
+tips AS (SELECT seq, avg FROM small WHERE seq NOT IN (SELECT seq FROM certain) AND seq IN (SELECT src FROM ways GROUP BY src HAVING count(*) = 1)),
+beside AS (SELECT t.seq AS tip, t.avg, x.dst, x.dst_strand, y.src AS other, CASE WHEN x.src_strand = 1 THEN t.seq ELSE {_RC.format('t.seq')} END AS ts, CASE WHEN y.src_strand = 1 THEN y.src ELSE {_RC.format('y.src')} END AS os, least(length(ts), length(os)) AS m
+    FROM tips t JOIN ways x ON x.src = t.seq JOIN ways y ON y.dst = x.dst AND y.dst_strand = x.dst_strand AND y.src <> t.seq),
+texts AS (SELECT tip, avg, dst, dst_strand, other, left(right(ts, m), m - {GRAPH_K - 1}) AS a, left(right(os, m), m - {GRAPH_K - 1}) AS b FROM beside),
+cells AS (SELECT a, b, CAST(0 AS BIGINT) AS i, CAST([NULL, NULL, 0, -3, -6] AS INTEGER[]) AS r FROM (SELECT DISTINCT a, b FROM texts WHERE length(a) >= {GRAPH_K})
+    UNION ALL SELECT a, b, i + 1, list_transform(range(1, 6), lambda d: CASE WHEN i + d - 2 BETWEEN 0 AND length(a) THEN list_max(list_transform(range(1, d + 1), lambda e: CASE WHEN i + e - 2 >= 0 THEN {_BASE} - 3 * (d - e) END)) END) FROM cells WHERE i < length(a)),
+alike AS (SELECT t.* FROM texts t LEFT JOIN cells c ON t.a = c.a AND t.b = c.b AND c.i = length(c.a) WHERE length(t.a) < {GRAPH_K} OR c.r[3] > 0),
+turns AS (SELECT dst, dst_strand, tip, list(other) AS others, row_number() OVER (PARTITION BY dst, dst_strand ORDER BY avg, tip) AS nth FROM alike GROUP BY dst, dst_strand, tip, avg),
+passed AS (SELECT DISTINCT dst, dst_strand, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS gone FROM turns
+    UNION ALL SELECT t.dst, t.dst_strand, t.nth, CASE WHEN len(list_filter(t.others, lambda x: NOT list_contains(p.gone, x))) > 0 THEN list_append(p.gone, t.tip) ELSE p.gone END FROM passed p JOIN turns t ON t.dst = p.dst AND t.dst_strand = p.dst_strand AND t.nth = p.nth + 1)"""
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_ALIGNED} SELECT seq, CAST(kmer_cov AS BIGINT) AS kmer_cov FROM nodes WHERE seq IN (SELECT seq FROM certain UNION SELECT unnest(gone) FROM passed)")
+def aligned_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tips that one sequential pass by alignment with what is beside them takes away."""
+    nodes, arcs = _graph(spark, sf_dir)
+    return nodes.join(graph.aligned_tips(nodes, arcs, GRAPH_K, 2.0, _TIP_LONGEST), "id").select("seq", "kmer_cov")
+
+
 _FITTED_GRAPH = f"""{_NODES}, hist AS (SELECT 1 AS one, n AS cov, count(*) AS n_kmers FROM counts GROUP BY n), {_mixture('hist', 'one')}, {_CUTOFF.format('one')},
 model AS (SELECT fitted.*, cutoff, avg_cov FROM fitted JOIN cutoffs USING (one), (SELECT CAST(sum(kmer_cov) AS DOUBLE) / sum(n) AS avg_cov FROM sided WHERE avg > 2 AND length(seq) + 1 > 31))"""
 _MULTIPLICITY = "CASE WHEN {0} < cutoff THEN 0 ELSE greatest(1, round({0} / avg_cov)) END"
