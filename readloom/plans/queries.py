@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence
@@ -425,6 +425,57 @@ def clipped_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clip_tips(*_graph(spark, sf_dir), 1.0, GRAPH_K + 1)[0].select("seq", "kmer_cov")
 
 
+@query(
+    f"""WITH RECURSIVE {_NODES}, {_PLACES}, started AS (SELECT node AS seq, count(*) FILTER (pos = 0) AS s FROM positions GROUP BY node),
+    ranked AS (SELECT n, s, row_number() OVER (ORDER BY n DESC, seq) AS nth, sum(n) OVER (ORDER BY n DESC, seq) - n AS before FROM nodes JOIN started USING (seq)),
+    rate AS (SELECT avg(s / n) AS mean FROM ranked WHERE nth <= 100 AND (nth <= 30 OR before < 0.05 * (SELECT sum(n) FROM nodes))),
+    scored AS (SELECT seq, n, s, m, abs(s - m * mean * n) / sqrt(m * mean * n) AS z FROM (SELECT seq, n, s, mean, unnest(range(1, 11)) AS m FROM nodes JOIN started USING (seq), rate)),
+    better AS (SELECT *, z < least(3.5, coalesce(min(z) OVER (PARTITION BY seq ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 3.5)) AS b FROM scored)
+    SELECT seq, n, s AS read_start_cov, CAST(CASE WHEN count(*) FILTER (b) = 1 AND min(z) FILTER (b) < 3.0 THEN min(m) FILTER (b) ELSE 0 END AS INTEGER) AS multiplicity FROM better GROUP BY seq, n, s"""
+)
+def multiplicity_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each node occurs by the read starts in it, against the rate of the longest nodes."""
+    low = _low_reads(spark, sf_dir)
+    nodes = graph.unitigs(low, GRAPH_K)
+    started = graph.coverage(graph.read_positions(low, nodes, GRAPH_K, "pair_id", "mate"))
+    rows = cut(nodes.join(started.select(F.col("node").alias("id"), "read_start_cov"), "id").select(F.col("seq").alias("id"), "n", "read_start_cov"))
+    mean = graph.read_start_statistics(rows).first()["mean"]
+    return graph.multiplicity_by_score(rows, mean or 0.0).select(F.col("id").alias("seq"), "n", "read_start_cov", "multiplicity")
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, refs AS (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS ref FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    asked AS (SELECT {_canonical(f'substr(ref, CAST(p + 1 AS BIGINT), {GRAPH_K})')} AS kmer FROM (SELECT ref, unnest(range(0, length(ref) - {GRAPH_K - 1})) AS p FROM refs)),
+    own AS (SELECT seq, n, {_canonical(f'substr(seq, CAST(p + 1 AS BIGINT), {GRAPH_K})')} AS kmer FROM (SELECT seq, n, unnest(range(0, length(seq) - {GRAPH_K - 1})) AS p FROM nodes)),
+    hits AS (SELECT seq, count(*) AS h FROM own JOIN asked USING (kmer) GROUP BY seq)
+    SELECT seq AS node, CAST(round(coalesce(h, 0) / n) AS INTEGER) AS multiplicity FROM nodes LEFT JOIN hits USING (seq)"""
+)
+def true_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the references of the benchmark hold each node of the low-complexity reads."""
+    nodes = graph.unitigs(_low_reads(spark, sf_dir), GRAPH_K)
+    references = dna(spark, sf_dir, "benchmark", "item_id").withColumnRenamed("doc_id", "item_id")
+    hits = graph.read_positions(references, nodes, GRAPH_K, "item_id").select(F.abs("node").alias("id")).join(nodes.select("id", "seq"), "id")
+    return chains.true_multiplicity(hits.select(F.col("seq").alias("node")), nodes, GRAPH_K)
+
+
+@query(
+    f"""WITH {SQL}, {_kmers(K)}, c AS (SELECT kmer, count(*) AS n FROM canon GROUP BY kmer),
+    ref AS (SELECT translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark WHERE text IS NOT NULL),
+    t AS (SELECT DISTINCT {_canonical(f'substr(seq, CAST(p + 1 AS BIGINT), {K})')} AS kmer, true AS real FROM (SELECT seq, unnest(range(0, length(seq) - {K - 1})) AS p FROM ref)),
+    b AS (SELECT coalesce(real, false) AS real, coalesce(n > 1, false) AS kept FROM c FULL JOIN t USING (kmer)),
+    s AS (SELECT count(*) FILTER (real AND kept) AS tp, count(*) FILTER (NOT real AND kept) AS fp, count(*) FILTER (NOT real AND NOT kept) AS tn, count(*) FILTER (real AND NOT kept) AS fn FROM b)
+    SELECT round(tp / nullif(tp + fn, 0), 9) AS sensitivity, round(tn / nullif(tn + fp, 0), 9) AS specificity FROM s"""
+)
+def kmer_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well "seen twice" tells the k-mers of the benchmark from others."""
+    counts = kmers.count_kmers(reads(spark, sf_dir), K)
+    real = sequence.explode_kmers(dna(spark, sf_dir, "benchmark", "item_id"), K).select(sequence.canonical(F.col("kmer")).alias("kmer")).distinct().withColumn("real", F.lit(True))
+    both = counts.join(real, "kmer", "full").select(F.coalesce("real", F.lit(False)).alias("real"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("kept"))
+    cases = {"tp": "real and kept", "fp": "not real and kept", "tn": "not real and not kept", "fn": "real and not kept"}
+    found = kmers.rates(both.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in cases.items()]))
+    return found.select(*[F.round(c, 9).alias(c) for c in ("sensitivity", "specificity")])
+
+
 _TIP_LONGEST = 60
 _BASE = "greatest(r[e] + CASE WHEN substr(a, i + 1, 1) = substr(b, i + e - 2, 1) THEN 1 ELSE -1 END, r[e + 1] - 3)"
 _ALIGNED = f"""{_CYCLES}, small AS (SELECT * FROM sided WHERE avg <= 2 AND n <= {_TIP_LONGEST}),
@@ -750,16 +801,6 @@ def markov_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("order", F.array_join(F.transform("context", lambda x: x.cast("string")), ",").alias("context"), "next", "freq")
 
 
-@query(
-    f"""WITH {_CHAINS}, {_SUBS} SELECT *, 20.0 * pow(0.99, "order") AS expected,
-    NOT (freq < 20.0 * pow(0.99, "order") AND 20.0 * pow(0.99, "order") >= 5 AND ((-1.0) - (freq * ln(20.0 * pow(0.99, "order")) - 20.0 * pow(0.99, "order"))) / ln(10.0) > 1) AS accepted FROM contexts"""
-)
-def markov_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step is expected twenty times, less one in a hundred for each node of its context."""
-    found = chains.decided(markov_contexts(spark, sf_dir).withColumn("expected", 20.0 * F.pow(F.lit(0.99), F.col("order"))))
-    return found.select("order", "context", "next", "freq", "expected", "accepted")
-
-
 @query(
     f"""WITH {_CHAINS}, arc AS (SELECT DISTINCT -l_suppkey AS s FROM lineitem WHERE l_linenumber = 2), step AS (SELECT id, unnest(chain) AS x FROM chains)
     SELECT id, bool_and(x > 0 OR x IN (SELECT s FROM arc)) AS valid FROM step GROUP BY id"""
@@ -784,18 +825,69 @@ def chain_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "at", F.array_join(F.transform("sub", lambda x: x.cast("string")), ",").alias("sub"))
 
 
+_LENGTHS = """parts AS (SELECT *, string_split(context, ',') AS nodes FROM contexts),
+total AS (SELECT "order", context, nodes, next, freq, CAST(31 + list_sum(list_transform(nodes, lambda x: abs(CAST(x AS INTEGER)) % 9 + 1)) + abs(next) % 9 + 1 AS BIGINT) AS length FROM parts),
+hoped AS (SELECT *, 30.0 / 100.0 * greatest(100.0 - length + 1, 0.0) * pow(0.99, length) AS expected FROM total),
+decided AS (SELECT *, NOT (freq < expected AND expected >= 5 AND ((-1.0) - (freq * ln(nullif(expected, 0)) - expected)) / ln(10.0) > 1) AS accepted FROM hoped)"""
+
+
+def _text(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts with length and expected; a node's length is the remainder of its number by 9, plus 1."""
+    lengths = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("node")).distinct().withColumn("n", (F.col("node") % 9 + 1).cast("long"))
+    found = chains.context_lengths(chains.contexts(_chains(spark, sf_dir)), lengths, 31)
+    return found.withColumn("expected", chains.expected_coverage(30.0, 100.0, "length"))
+
+
+@query(f'WITH {_CHAINS}, {_SUBS}, {_LENGTHS} SELECT "order", context, next, freq, length, round(expected, 9) AS expected FROM hoped')
+def markov_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of contexts and how often each is expected."""
+    return _expected(spark, sf_dir).select("order", _text("context").alias("context"), "next", "freq", "length", F.round("expected", 9).alias("expected"))
+
+
+@query(f'WITH {_CHAINS}, {_SUBS}, {_LENGTHS} SELECT "order", context, next, freq, round(expected, 9) AS expected, accepted FROM decided')
+def markov_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which steps are seen too seldom for what their length lets expect."""
+    return chains.decided(_expected(spark, sf_dir)).select("order", _text("context").alias("context"), "next", "freq", F.round("expected", 9).alias("expected"), "accepted")
+
+
 @query(
-    f"""WITH {_CHAINS}, {_SUBS}, parts AS (SELECT *, string_split(context, ',') AS nodes FROM contexts),
-    total AS (SELECT "order", context, next, freq, 31 + list_sum(list_transform(nodes, lambda x: abs(CAST(x AS INTEGER)) % 9 + 1)) + abs(next) % 9 + 1 AS length FROM parts)
-    SELECT "order", context, next, freq, CAST(length AS BIGINT) AS length, round(30.0 / 100.0 * greatest(100.0 - length + 1, 0.0) * pow(0.99, length), 9) AS expected FROM total"""
+    f"""WITH {_CHAINS}, {_SUBS}, {_LENGTHS}, single AS (SELECT "order", context FROM decided GROUP BY ALL HAVING count(*) FILTER (accepted) = 1),
+    ends AS (SELECT "order", context, nodes, unnest(range(1, "order")) AS n FROM (SELECT DISTINCT "order", context, nodes FROM decided)),
+    gone AS (SELECT DISTINCT e."order", e.context FROM ends e JOIN single s ON array_to_string(nodes[e."order" - n + 1 :], ',') = s.context)
+    SELECT "order", context, next, freq, accepted FROM decided WHERE ("order", context) NOT IN (SELECT ("order", context) FROM gone)"""
 )
-def markov_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of contexts and how often each is expected; a node's length is the remainder of its number by 9, plus 1."""
-    every = chains.contexts(_chains(spark, sf_dir))
-    lengths = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("node")).distinct().withColumn("n", (F.col("node") % 9 + 1).cast("long"))
-    found = chains.context_lengths(every, lengths, 31)
-    joined = F.array_join(F.transform("context", lambda x: x.cast("string")), ",")
-    return found.select("order", joined.alias("context"), "next", "freq", "length", F.round(chains.expected_coverage(30.0, 100.0, "length"), 9).alias("expected"))
+def propagated_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions without the contexts that a shorter one with a single accepted step decides already."""
+    left = chains.propagated(chains.decided(_expected(spark, sf_dir)))
+    return left.select("order", _text("context").alias("context"), "next", "freq", "accepted")
+
+
+@query(
+    f"""WITH {_CHAINS}, {_SUBS}, {_LENGTHS}, ends AS (SELECT id, o, array_to_string(chain[len(chain) - o + 1 :], ',') AS context FROM (SELECT id, chain, unnest(range(1, least(len(chain), 15) + 1)) AS o FROM chains)),
+    known AS (SELECT id, o, next FROM ends e JOIN decided d ON e.context = d.context AND accepted QUALIFY o = max(o) OVER (PARTITION BY id))
+    SELECT id, string_agg(DISTINCT CAST(next AS VARCHAR), ',' ORDER BY CAST(next AS VARCHAR)) AS next FROM known GROUP BY id"""
+)
+def allowed_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nodes may follow each chain by the longest context that it ends with."""
+    found = chains.allowed_next(_chains(spark, sf_dir), cut(chains.decided(_expected(spark, sf_dir))))
+    return found.select("id", F.array_join(F.array_sort(F.transform("next", lambda x: x.cast("string"))), ",").alias("next"))
+
+
+@query(
+    f"""WITH {_CHAINS}, step AS (SELECT id, chain[p] AS src, chain[p + 1] AS dst FROM (SELECT id, chain, unnest(range(1, len(chain))) AS p FROM chains)),
+    arc AS (SELECT src, dst FROM (SELECT src, dst FROM step UNION ALL SELECT -dst, -src FROM step) GROUP BY ALL HAVING count(*) > 1)
+    SELECT id, coalesce(bool_and(arc.src IS NOT NULL) FILTER (step.src IS NOT NULL), true) AS valid FROM chains LEFT JOIN step USING (id) LEFT JOIN arc ON step.src = arc.src AND step.dst = arc.dst GROUP BY id"""
+)
+def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each step of a chain is an arc; arcs are the steps seen twice or more, on either strand."""
+    every = _chains(spark, sf_dir)
+    steps = chains.subchains(every, 2).select("id", "sub").filter("size(sub) = 2")
+    arcs = steps.groupBy(F.get("sub", F.lit(0)).alias("src"), F.get("sub", F.lit(1)).alias("dst")).agg(F.count("*").alias("n")).filter("n > 1")
+    return graph.chain_valid(every, arcs)
 
 
 # similarity networks
