@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import chains, community, consensus, correction, graph
+from readloom.operators import chains, community, consensus, correction, graph, stretches
 from readloom.operators.iterate import connected_components
 from readloom.plans import pipeline
 
@@ -74,6 +74,32 @@ def test_a_cycle_is_one_node(spark):
     assert len(found) == 1 and len(found[0]["seq"]) == len(ring) + 4
 
 
+@pytest.mark.parametrize("k", [11, 5])
+def test_stretches_give_the_graph_of_single_kmers(spark, monkeypatch, k):
+    """Rings, hairpins, other letters, nulls and both strands; the walk over the graph sees stretches, not k-mers."""
+    rng = random.Random(3)
+    reads = ["A" * 15, "AC" * 12, "", None, "ACGNNACGTACGTTGCANACGATTCGAGTCA", "\u00e9ACGATTCAGATCAGAT", "AACCGGTT" * 3]
+    for _ in range(6):
+        ring = "".join(rng.choices("ACGT", k=rng.randint(20, 60)))
+        reads += [(ring * 4)[i : i + rng.randint(12, 40)] for i in range(0, len(ring) + 20, rng.randint(3, 9))] + made_reads(rng.random(), 150, 12, 40)[1]
+    frame = spark.createDataFrame([(r if r is None or rng.random() < 0.5 else rc(r),) for r in reads], "seq string")
+    count = frame.transform(lambda d: graph.explode_kmers(d, k)).groupBy(graph.canonical(F.col("kmer")).alias("seq")).agg(F.count("*").alias("kmer_cov"))
+    single = count.select(graph.kmer_code(F.col("seq"), k).alias("id"), "seq", F.lit(1).cast("long").alias("n"), "kmer_cov")
+    coded = graph.arcs(frame, k).select(graph.kmer_code(F.col("src"), k).alias("src"), graph.kmer_code(F.col("dst"), k).alias("dst"), "cov")
+    walked, walk = [], graph._walk
+    monkeypatch.setattr(graph, "_walk", lambda nodes, links: walked.append(nodes.count()) or walk(nodes, links))
+    found, wanted = graph.build(frame, k), graph.concatenate(single, coded, k)
+    for mine, other in zip(found, wanted, strict=True):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, other.select(mine.columns).collect()))
+    assert k == 5 or walked[0] < single.count()
+
+
+def test_places_count_letters(spark):
+    frame = spark.createDataFrame([(1, "\u00e9ACGTN"), (2, None), (3, "TTTNACG")], "id long, seq string")
+    found = stretches.placed_codes(frame, 3, "id").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 7), (1, 2, -7), (3, 0, -1), (3, 4, 7)]
+
+
 def test_cleaning_removes_errors_and_keeps_the_genome(spark):
     """Tips of single errors at read ends and bubbles of errors inside go; what is left is the genome."""
     rng = random.Random(8)
