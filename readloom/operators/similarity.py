@@ -26,21 +26,36 @@ def overlap_scores(left: list[str], right: list[str], match: int = MATCH, mismat
     if not n:
         return np.zeros(0, np.int64)
     la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    a, b = (_codes(x, int(size.max(initial=0)), fill) for x, size, fill in ((left, la, -1), (right, lb, -2)))
-    wide = b.shape[1]
-    before, last = np.zeros((n, wide + 2), np.int64), np.zeros((n, wide + 2), np.int64)
-    best = np.zeros(n, np.int64)
-    # cell (i, j) of diagonal d = i + j stands at place j + 1; borders are 0
-    for d in range(2, a.shape[1] + wide + 1):
-        j = np.arange(max(1, d - a.shape[1]), min(wide, d - 1) + 1)
-        i = d - j
-        diagonal = before[:, j] + np.where(a[:, i - 1] == b[:, j - 1], match, mismatch)
-        now = np.zeros_like(last)
-        now[:, j + 1] = np.maximum(diagonal, np.maximum(last[:, j] + gap, last[:, j + 1] + gap))
-        edge = ((i[None, :] == la[:, None]) & (j[None, :] <= lb[:, None])) | ((j[None, :] == lb[:, None]) & (i[None, :] <= la[:, None]))
-        best = np.maximum(best, np.where(edge, now[:, j + 1], 0).max(axis=1, initial=0))
-        before, last = last, now
-    return best
+    a, b = (np.ascontiguousarray(_codes(x, int(size.max(initial=0)), fill).T) for x, size, fill in ((left, la, -1), (right, lb, -2)))
+    high, wide = len(a), len(b)
+    if max(a.max(initial=0), b.max(initial=0)) < 128:
+        a, b = a.astype(np.int8), b.astype(np.int8)
+    # letters are rows, pairs of strings columns, so a diagonal is a block of rows; cell (i, j) of diagonal d = i + j stands at
+    # place j + 1, borders are 0 and are never written
+    kind = np.int16 if (high + wide + 2) * max(abs(match), abs(mismatch), abs(gap)) < 1 << 15 else np.int64
+    before, last, now = (np.zeros((wide + 2, n), kind) for _ in range(3))
+    best, back, even = np.zeros(n, kind), a[::-1], (la == high).all() and (lb == wide).all()
+    for d in range(2, high + wide + 1):
+        low, top = max(1, d - high), min(wide, d - 1)
+        if low > top:
+            continue
+        cells = np.multiply(back[high - d + low : high - d + top + 1] == b[low - 1 : top], match - mismatch, dtype=kind)
+        cells += mismatch
+        cells += before[low : top + 1]
+        beside = np.maximum(last[low : top + 1], last[low + 1 : top + 2])
+        beside += gap
+        np.maximum(cells, beside, out=now[low + 1 : top + 2])
+        if even:  # only the ends of a diagonal can lie in the last row or column
+            if d > high:
+                np.maximum(best, now[low + 1], out=best)
+            if top == wide:
+                np.maximum(best, now[top + 1], out=best)
+        else:
+            j = np.arange(low, top + 1)[:, None]
+            edge = (((d - j) == la) & (j <= lb)) | ((j == lb) & ((d - j) <= la))
+            np.maximum(best, np.where(edge, now[low + 1 : top + 2], 0).max(axis=0), out=best)
+        before, last, now = last, now, before
+    return best.astype(np.int64)
 
 
 def _codes(texts: list[str], wide: int, fill: int) -> np.ndarray:

@@ -189,3 +189,24 @@ def test_chain_lines_round_trip(spark, tmp_path):
     formats.chain_lines(rows).coalesce(1).write.text(f"{tmp_path}/c")
     found = formats.read_chains(spark, f"{tmp_path}/c").drop("idx")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.select(found.columns).collect()))
+
+
+def test_overlap_scores_against_single_cells():
+    """Strings of one length and of many, long ones and other letters."""
+    rng = random.Random(4)
+
+    def single(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = max(table[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -4), table[i - 1][j] - 7, table[i][j - 1] - 7)
+        ends = [table[len(a)][j] for j in range(1, len(b) + 1)] + [table[i][len(b)] for i in range(1, len(a) + 1)]
+        return max([0, *ends]) if a and b else 0
+
+    word = lambda n, letters="ACGT": "".join(rng.choices(letters, k=n))
+    mixed = [(word(rng.randint(0, 12)), word(rng.randint(0, 12), "ACG\u00e9")) for _ in range(60)]
+    whole = word(60)
+    even = [(whole[i : i + 20], whole[j : j + 25]) for i, j in ((rng.randint(0, 40), rng.randint(0, 35)) for _ in range(40))]
+    for pairs in (mixed, even, [("", "A")], [("A", "")], [("A" * 6_000 + whole, whole)]):
+        left, right = [a for a, _ in pairs], [b for _, b in pairs]
+        assert similarity.overlap_scores(left, right).tolist() == [single(a, b) for a, b in pairs]
