@@ -162,6 +162,21 @@ def test_stable_core(spark):
     assert len({found[k] for k in range(12, 24)}) == 12
 
 
+def test_coclustering_counts_classes_and_shuffles_no_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    # few communities, so classes of many nodes, which lie in several blocks; one run lacks nodes, one has a null
+    rows = [(run, node, rng.randrange(3)) for run in range(3) for node in range(90) if run < 2 or node % 4] + [(3, node, node) for node in range(5)] + [(4, 1, None), (4, 2, None)]
+    frame = spark.createDataFrame(rows, "run int, node long, community long")
+    wanted = Counter((a, b) for r, a, c in rows for s, b, d in rows if r == s and c is not None and c == d and a < b)
+    for block in (256, 2):
+        monkeypatch.setattr(consensus, "BLOCK", block)
+        found = consensus.coclustering(frame)
+        assert Counter({(r["i"], r["j"]): r["weight"] for r in found.collect()}) == wanted and found.count() == len(wanted)
+        grouped = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(nodes_b")[0]
+        assert "Aggregate" not in grouped
+    assert consensus.coclustering(frame.limit(0)).count() == 0
+
+
 def test_size_bounds_grow():
     bounds = consensus.size_bounds(30, 20)
     assert bounds[0] == (19, 40) and len(bounds) == 20
