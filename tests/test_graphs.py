@@ -327,6 +327,15 @@ def test_louvain_by_joins_is_as_good_as_node_by_node(spark, knots, name):
     assert ends[0] >= ends[10**9] - 0.05 * abs(ends[10**9] - alone) and ends[0] >= alone - 1e-9
 
 
+def test_leaves_join_their_hubs_in_one_round(spark, monkeypatch):
+    edges = [(hub, 100 + 40 * hub + leaf, 2.0) for hub in range(5) for leaf in range(40)] + [(hub, (hub + 1) % 5, 1.0) for hub in range(5)]
+    rounds, moves = [], community._moves
+    monkeypatch.setattr(community, "_moves", lambda *a: rounds.append(1) or moves(*a))
+    found = community.flatten(community.louvain(spark.createDataFrame(edges, "src long, dst long, w double"), largest=0))
+    assert {r["node"]: r["community"] for r in found.collect()} == {v: hub for hub in range(5) for v in (hub, *range(100 + 40 * hub, 140 + 40 * hub))}
+    assert len(rounds) <= 3  # all leaves move, none is left to, and so it is for the hubs
+
+
 def test_communities_are_numbered_by_their_smallest_node(spark):
     part = spark.createDataFrame([(n, 100 - n // 3) for n in range(50)], "node long, community long").repartition(7)
     assert {r["node"]: r["community"] for r in community.renumbered(part).collect()} == {n: n // 3 for n in range(50)}
