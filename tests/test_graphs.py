@@ -256,6 +256,15 @@ def test_single_survivors_settle_longer_contexts(spark):
     assert sorted((r["context"], r["next"]) for r in found) == [([1], 2), ([1], 3), ([4], 2), ([4], 5), ([7, 4], 2)]
 
 
+def test_contexts_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(k, [k % 7, k % 5, 8, k % 3]) for k in range(60)], "id long, chain array<int>")
+    lengths = spark.createDataFrame([(n, 2) for n in range(9)], "node int, n long")
+    decided = chains.decided(chains.context_lengths(chains.contexts(rows, 3), lengths, 31).withColumn("expected", F.lit(6.0)))
+    for found in (chains.propagated(decided), chains.allowed_next(rows, decided.select("order", "context", "next", "accepted").localCheckpoint())):
+        assert found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_positions_of_the_other_strand(spark):
     frame = spark.createDataFrame([(0, 5, 2, 10, 3)], "pos int, node long, node_pos int, node_n long, last int")
     assert tuple(graph.reversed_positions(frame, "last").first())[:3] == (3, -5, 7)
