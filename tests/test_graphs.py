@@ -371,3 +371,58 @@ def test_insert_sizes_and_paired_chains(spark):
     pairs = spark.createDataFrame([([1, 2], [3, 4]), ([-2, -1], [-4, -3]), ([-2, -1], [-4, -3]), ([5], [-5])], "chain1 array<int>, chain2 array<int>")
     counted = {(tuple(r["chain1"]), r["turned1"], tuple(r["chain2"]), r["turned2"]): r["n"] for r in chains.paired_counts(pairs).collect()}
     assert counted == {((-2, -1), True, (-4, -3), False): 1, ((-2, -1), False, (-4, -3), True): 2, ((-5,), True, (-5,), True): 1}
+
+
+@pytest.mark.parametrize("name", ["modularity", "condorcet", "goldberg"])
+def test_louvain_and_quality_of_runs_together_are_those_of_each_run(spark, name):
+    draw = random.Random(4)
+    rows = [(r, a * 10 + draw.randrange(6), a * 10 + draw.randrange(6), draw.random() + 0.5) for r in range(3) for a in range(4 + r) for _ in range(12)]
+    rows = sorted({(r, min(a, b), max(a, b)): (r, min(a, b), max(a, b), w) for r, a, b, w in rows if a != b}.values())
+    every = spark.createDataFrame(rows, "run int, src long, dst long, w double")
+    keyed = every.select(*[community.keyed(F.col(c), F.col("run"), 3).alias(c) for c in ("src", "dst")], "w")
+    together = community.flatten(community.louvain(keyed, name, 7, runs=3)).cache()
+    values = {r["run"]: r["quality"] for r in community.quality(keyed, together, name, runs=3).collect()}
+    parted = {(r["run"], r["node"], r["community"]) for r in community.unkeyed(together, 3, "node", "community").collect()}
+    for run in range(3):
+        network = every.filter(F.col("run") == run).drop("run")
+        alone = community.flatten(community.louvain(network, name, 7 + run)).cache()
+        assert {(r["node"], r["community"]) for r in alone.collect()} == {(n, c) for r, n, c in parted if r == run}
+        assert values[run] == pytest.approx(community.quality(network, alone, name).first()["quality"])
+
+
+def test_stable_core_is_that_of_rounds_one_by_one(spark):
+    draw, runs, size = random.Random(11), 6, 12.0
+    n = 150
+    weights = {}
+    for _ in range(260):
+        a, b = draw.randrange(n - 20), draw.randrange(n - 20)
+        if a != b and a // 26 == b // 26:
+            weights[min(a, b), max(a, b)] = draw.randint(1, runs)
+    visited, kept = {}, {}
+    for t, (least, largest) in enumerate(consensus.size_bounds(size, runs)):
+        parts = {v: {v} for v in range(n)}
+        for (a, b), w in weights.items():
+            if w > t and parts[a] is not parts[b]:
+                parts[a] |= parts[b]
+                for v in parts[b]:
+                    parts[v] = parts[a]
+        for part in {min(p): p for p in parts.values()}.values():
+            if not part & visited.keys() and (t == runs - 1 or len(part) <= largest):
+                visited |= dict.fromkeys(part, t)
+                kept |= dict.fromkeys(part, (t, min(part))) if len(part) >= least else {}
+        if n - len(visited) < least:
+            break
+    keys = {v: kept.get(v, (runs, v)) for v in range(n)}
+    number = {key: i + 1 for i, key in enumerate(sorted(set(keys.values())))}
+    rows = [(a, b, w) for (a, b), w in weights.items()]
+    found = consensus.stable_core(spark.range(n).withColumnRenamed("id", "node"), spark.createDataFrame(rows, "i long, j long, weight long"), size, runs)
+    assert {r["node"]: r["cluster_id"] for r in found.collect()} == {v: number[key] for v, key in keys.items()}
+
+
+def test_ladder_is_clustered_in_one_go(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(community, "louvain", lambda *a, found=community.louvain, **b: calls.append(1) or found(*a, **b))
+    edges = spark.createDataFrame([(a, b, 50.0) for a in range(12) for b in range(a)], "src long, dst long, sim double")
+    pairs = spark.range(12).withColumnRenamed("id", "pair_id")
+    pipeline.clusters(pairs, edges, pipeline.Config(coverage=30.0, least_quality=-1.0))
+    assert len(calls) == 1
