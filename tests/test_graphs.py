@@ -426,3 +426,17 @@ def test_ladder_is_clustered_in_one_go(spark, monkeypatch):
     pairs = spark.range(12).withColumnRenamed("id", "pair_id")
     pipeline.clusters(pairs, edges, pipeline.Config(coverage=30.0, least_quality=-1.0))
     assert len(calls) == 1
+
+
+def test_a_component_of_thousands_of_edges_is_solved_in_a_task_of_its_own(spark, monkeypatch):
+    rng = random.Random(4)
+    tied = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(14_000)) if a != b and (a % 5 == b % 5 or rng.random() < 0.3)}
+    rows = [(a, b, 1.0 + (a % 5 == b % 5)) for a, b in sorted(tied)] + [(1000 + a, 1000 + b, w) for a, b, w in cliques(3, 5)]
+    assert len(tied) > 4_096
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    monkeypatch.setattr(community, "joined_louvain", lambda *_: pytest.fail("rounds of joins over an edge table that fits a task"))
+    found = {r["node"]: r["community"] for r in community.flatten(community.louvain(edges)).collect()}
+    assert len(found) == len({v for a, b, _ in rows for v in (a, b)})
+    monkeypatch.setattr(community, "DEALT", 20)  # both components are beyond it
+    assert {r["node"]: r["community"] for r in community.flatten(community.louvain(edges)).collect()} == found
+    assert all((v < 1000) == (c < 1000) and found[c] == c for v, c in found.items())
