@@ -440,3 +440,36 @@ def test_a_component_of_thousands_of_edges_is_solved_in_a_task_of_its_own(spark,
     monkeypatch.setattr(community, "DEALT", 20)  # both components are beyond it
     assert {r["node"]: r["community"] for r in community.flatten(community.louvain(edges)).collect()} == found
     assert all((v < 1000) == (c < 1000) and found[c] == c for v, c in found.items())
+
+
+@pytest.fixture(scope="module")
+def walks(spark):
+    rng = random.Random(11)
+    rows = [(k, [rng.choice((-1, 1)) * rng.randint(1, 5) for _ in range(rng.randint(0, 7))]) for k in range(300)]
+    return spark.createDataFrame(rows, "id long, chain array<int>"), spark.createDataFrame([(n, 3 * n) for n in range(1, 6)], "node int, n long")
+
+
+def test_contexts_are_shuffled_once_with_their_lengths(spark, walks):
+    rows, lengths = walks
+    sized = chains.measured(rows, lengths).localCheckpoint()  # its own plan is not looked at
+    found = chains.contexts_by_last(sized, 4, 31)
+    names = ["order", "context", "next", "freq", "length"]
+    wanted = chains.context_lengths(chains.contexts(rows, 4), lengths, 31)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, wanted.select(*names).collect()))
+    left = chains.propagated(found.withColumn("accepted", F.col("freq") > 2))
+    assert left.collect() and left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_longest_known_ends_decide_and_are_joined_last(spark, walks):
+    rows, _ = walks
+    decided = chains.contexts(rows).withColumn("accepted", F.col("freq") > 2).select("order", "context", "next", "accepted")
+    follow, wanted = defaultdict(set), {}
+    for r in decided.filter("accepted").collect():
+        follow[tuple(r["context"])].add(r["next"])
+    for r in rows.collect():
+        if known := [tuple(r["chain"][-n:]) for n in range(len(r["chain"]), 0, -1) if tuple(r["chain"][-n:]) in follow]:
+            wanted[r["id"]] = sorted(follow[known[0]])
+    found = chains.allowed_next(rows, decided)
+    assert {r["id"]: r["next"] for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "Project" in plan and "Aggregate" not in plan  # what may follow is not grouped by chain
